@@ -4,9 +4,10 @@ from __future__ import annotations
 
 import importlib
 
-#: name -> (module, SQL or None)
+#: Query -> its module, which may have SQL for it.
 _MODULES = {
     "op2_exact_dedup": "exact_dedup",
+    "op9_language_id": "language_id",
 }
 
 
