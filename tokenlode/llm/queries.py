@@ -6,6 +6,7 @@ import importlib
 
 #: Query -> its module, which may have SQL for it.
 _MODULES = {
+    "op1_sentencepiece": "sentencepiece_wfst",
     "op2_exact_dedup": "exact_dedup",
     "op9_language_id": "language_id",
 }
