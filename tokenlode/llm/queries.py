@@ -8,6 +8,8 @@ import importlib
 _MODULES = {
     "op1_sentencepiece": "sentencepiece_wfst",
     "op2_exact_dedup": "exact_dedup",
+    "op3_sharding": "sharding",
+    "op6_mixing": "mixing",
     "op9_language_id": "language_id",
 }
 
