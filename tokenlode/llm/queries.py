@@ -11,6 +11,7 @@ _MODULES = {
     "op3_sharding": "sharding",
     "op6_mixing": "mixing",
     "op9_language_id": "language_id",
+    "op10_pii": "pii",
 }
 
 
