@@ -10,6 +10,7 @@ _MODULES = {
     "op2_exact_dedup": "exact_dedup",
     "op3_sharding": "sharding",
     "op6_mixing": "mixing",
+    "op7_chat_format": "chat",
     "op9_language_id": "language_id",
     "op10_pii": "pii",
 }
