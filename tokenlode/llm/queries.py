@@ -9,6 +9,7 @@ _MODULES = {
     "op1_sentencepiece": "sentencepiece_wfst",
     "op2_exact_dedup": "exact_dedup",
     "op3_sharding": "sharding",
+    "op4_ngram_jaccard": "ngram_jaccard",
     "op5_line_dedup": "line_dedup",
     "op6_mixing": "mixing",
     "op7_chat_format": "chat",
