@@ -13,6 +13,7 @@ _MODULES = {
     "op5_line_dedup": "line_dedup",
     "op6_mixing": "mixing",
     "op7_chat_format": "chat",
+    "op8_ann": "hilbert_ann",
     "op9_language_id": "language_id",
     "op10_pii": "pii",
 }
