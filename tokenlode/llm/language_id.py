@@ -18,6 +18,7 @@ from collections.abc import Iterator
 from dataclasses import dataclass
 
 import numpy as np
+import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -82,7 +83,7 @@ class Model:
     weights: np.ndarray
     bias: np.ndarray
     loss_weights: np.ndarray
-    min_margin: float = 0.25
+    min_margin: float = 0.1
     min_letters: int = 3
 
     def decode(self, x: np.ndarray, letters: int) -> tuple[str | None, float, float, bool]:
@@ -187,5 +188,25 @@ def language_id(docs: DataFrame, labelled: DataFrame | None = None, per_language
     return predict(docs, fit(texts, langs))
 
 
+def keep_known(docs: DataFrame, labelled: DataFrame | None = None, per_language: int = 300, text_col: str = "text") -> DataFrame:
+    """The rows of docs whose text `language_id` can place, with their columns.
+
+    What goes is ambiguous there: null texts, texts without letters or with
+    fewer than min_letters letter bytes, and those between two languages. Without
+    labelled rows nothing can be placed, so nothing is rejected.
+    """
+    texts, langs = sample(docs if labelled is None else labelled, per_language)
+    if not texts:
+        return docs
+    held = docs.sparkSession.sparkContext.broadcast(fit(texts, langs))
+
+    @F.pandas_udf("boolean")
+    def known(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
+        for b in batches:
+            yield pd.Series([bool(t) and not held.value.decode(*features(t))[3] for t in b], dtype=bool)
+
+    return docs.where(known(named(docs, text_col).cast("string")))
+
+
 def op9_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     return language_id(spark.read.parquet(f"{sf_dir}/documents.parquet"))
