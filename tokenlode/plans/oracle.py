@@ -61,6 +61,8 @@ _PROMPT = "pr AS (SELECT qid, ids[:len(ids) - 1] AS ids, ids[len(ids)] AS cont F
 _BACK = """suf AS (SELECT e.k // 100000 AS qid, e.n, e.g FROM ext e JOIN p ON e.k = p.qid AND e.n = len(p.ids)),
 best AS (SELECT qid, max(n) AS suffix_len FROM suf GROUP BY qid),
 fit AS (SELECT suf.*, suffix_len, t.token AS nxt FROM suf JOIN best USING (qid) LEFT JOIN tok t ON t.g = suf.g + suf.n WHERE n = suffix_len),"""
+#: Prompts of which no suffix occurs: they get all positions, and a separator's token is <eos>.
+_NONE = "unknown AS (SELECT qid, cont FROM pr WHERE qid NOT IN (SELECT qid FROM fit)), uni AS (SELECT token, count(*) AS n FROM tok GROUP BY token UNION ALL SELECT '<eos>', count(*) FROM d),"
 
 
 def _shown(source: str, cols: str, before: str, after: str, order: str = "") -> str:
@@ -125,12 +127,13 @@ mid AS (SELECT *, least(unit, prompt_cnt - a) AS w, a + least(unit, prompt_cnt -
         then="SELECT q.qid, count(hit.qid) AS prompt_cnt, count(*) FILTER (t.token = q.cont) AS cont_cnt, CASE WHEN count(hit.qid) > 0 THEN round(count(*) FILTER (t.token = q.cont) / count(hit.qid), 6) ELSE -1.0::DOUBLE END AS prob FROM q LEFT JOIN hit USING (qid) LEFT JOIN tok t ON t.g = hit.g + hit.n GROUP BY q.qid",
     ),
     "infgram_prob": _sql(
-        _PROMPT, _ext("p"), _BACK,
-        # a prompt of which nothing occurs has none here: each passage ends in a known token
-        then="SELECT pr.qid, count(*) AS prompt_cnt, count(*) FILTER (nxt = cont) AS cont_cnt, round(count(*) FILTER (nxt = cont) / count(*), 6) AS prob, any_value(suffix_len) AS suffix_len FROM pr JOIN fit USING (qid) GROUP BY pr.qid",
+        _PROMPT, _ext("p"), _BACK, _NONE,
+        then="""SELECT pr.qid, count(*) AS prompt_cnt, count(*) FILTER (nxt = cont) AS cont_cnt, round(count(*) FILTER (nxt = cont) / count(*), 6) AS prob, any_value(suffix_len) AS suffix_len FROM pr JOIN fit USING (qid) GROUP BY pr.qid
+UNION ALL SELECT qid, (SELECT sum(n) FROM uni)::BIGINT, coalesce(n, 0)::BIGINT, round(coalesce(n, 0) / (SELECT sum(n) FROM uni), 6), 0 FROM unknown LEFT JOIN uni ON token = cont""",
     ),
     "infgram_ntd": _sql(
-        _PROMPT, _ext("p"), _BACK, "nt AS (SELECT qid, coalesce(nxt, '<eos>') AS token, count(*) AS cont_cnt, any_value(suffix_len) AS suffix_len FROM fit GROUP BY 1, 2),",
+        _PROMPT, _ext("p"), _BACK, _NONE,
+        "nt AS (SELECT qid, coalesce(nxt, '<eos>') AS token, count(*) AS cont_cnt, any_value(suffix_len) AS suffix_len FROM fit GROUP BY 1, 2 UNION ALL SELECT qid, token, n, 0 FROM unknown, uni),",
         then="SELECT qid, token, cont_cnt, (sum(cont_cnt) OVER (PARTITION BY qid))::BIGINT AS prompt_cnt, round(cont_cnt / sum(cont_cnt) OVER (PARTITION BY qid), 6) AS prob, suffix_len FROM nt",
     ),
     "cursor_advance": _sql(_ext("b"), then="SELECT k AS qid, n AS step, count(*) AS cnt FROM ext GROUP BY ALL"),
