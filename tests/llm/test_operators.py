@@ -128,6 +128,16 @@ def test_ann(spark):
     assert hilbert_ann.neighbours(spark.createDataFrame([], "vec_id long, embedding array<float>")).count() == 0
 
 
+def test_ann_windows_grow(spark):
+    x = np.random.default_rng(3).standard_normal((6000, 64)).astype(np.float32)
+    got = hilbert_ann.neighbours(spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(x)], "vec_id long, embedding array<float>"), block=32, halo=16).collect()
+    u = x / np.linalg.norm(x, axis=1)[:, None]
+    s = u @ u.T
+    np.fill_diagonal(s, -9)
+    want = {(i, int(j)) for i in range(6000) for j in np.argpartition(-s[i], 10)[:10]}
+    assert len(got) == 60_000 and len(want & {(r["vec_id"], r["neighbour"]) for r in got}) / len(want) >= 0.9
+
+
 def test_language_id(odd, none, docs):
     known = [r for r in docs.select("doc_id", "text", "lang").collect() if r["lang"] and len(r["text"].split()) > 20]
     fit = language_id.fit([r["text"] for r in known[::2]], [r["lang"] for r in known[::2]])

@@ -9,12 +9,15 @@ reranked by exact similarity.
 
 Every row is a query. A curve finds a true neighbour if it lies in the same
 window; more curves or wider windows find more. How many are needed depends on
-the data: vectors without structure in many dimensions need windows that
-together span much of a small table, see the README for measured recall.
+the data: among vectors without structure in many dimensions recall follows
+the share of the table that the windows span. So windows grow with the table,
+and with them the comparisons, by the square of the rows; the README has the
+recall. A worker holds a whole window, 1 / 32 of a large table.
 """
 
 from __future__ import annotations
 
+import math
 from collections.abc import Iterator
 
 import numpy as np
@@ -28,6 +31,10 @@ from .common import delete, named, scratch
 K, CURVES, DIMS, BITS, BLOCK, HALO = 10, 24, 8, 7, 1024, 512
 #: Curves whose orders are on disk at once.
 AT_ONCE = 6
+#: Least share of the rows that a block has: windows of fixed size lose neighbours as the table grows.
+SHARE = 1 / 64
+#: Similarities that a window's comparison holds at once.
+CELLS = 1 << 21
 SEED, DIGITS = 5, 5
 
 
@@ -77,10 +84,11 @@ def usable(vectors: DataFrame, id_col: str, vec_col: str) -> tuple[DataFrame, in
     return d.where(F.size("vec") == dim).groupBy("id").agg(F.min("vec").alias("vec")), dim
 
 
-def neighbours(vectors: DataFrame, k: int = K, curves: int = CURVES, block: int = BLOCK, halo: int = HALO, dims: int = DIMS, seed: int = SEED, id_col: str = "vec_id", vec_col: str = "embedding") -> DataFrame:
+def neighbours(vectors: DataFrame, k: int = K, curves: int = CURVES, block: int = BLOCK, halo: int = HALO, dims: int = DIMS, seed: int = SEED, id_col: str = "vec_id", vec_col: str = "embedding", share: float = SHARE) -> DataFrame:
     """(vec_id, rank, neighbour, similarity): the k most similar others of each row, by cosine.
 
-    Similarities are rounded to DIGITS; ties go to the lesser id. Rows with a
+    A block has `block` rows or `share` of all, if that is more; the halo grows
+    along. Similarities are rounded to DIGITS; ties go to the lesser id. Rows with a
     null id or vector, with nulls, infinities or NaN in it, of another length
     than most, or of zeros only, are left out. Of rows that share an id the one
     with the least vector counts.
@@ -116,6 +124,8 @@ def neighbours(vectors: DataFrame, k: int = K, curves: int = CURVES, block: int
     mean = np.array([r["s"] for r in sums]).reshape(curves, dims) / n
     dev = np.sqrt((np.array([r["s2"] for r in sums]).reshape(curves, dims) / n - mean**2).clip(1e-18))
     total = int(n[0, 0])
+    if (wide := math.ceil(total * share)) > block:
+        block, halo = wide, math.ceil(halo * wide / block)
 
     parts = []
     for first in range(0, curves, AT_ONCE):
@@ -153,21 +163,22 @@ def neighbours(vectors: DataFrame, k: int = K, curves: int = CURVES, block: int
             x = np.frombuffer(b"".join(t["vec"].to_pylist()), np.float32).reshape(-1, dim)[by]
             own = np.flatnonzero(place_ // block == key[1].as_py())
             out_q, out_n, out_s = [], [], []
-            if len(own) and len(ids) > 1:
-                s = x[own] @ x.T
-                s[np.arange(len(own)), own] = -9
+            x64 = x.astype(np.float64)
+            x64 /= np.sqrt((x64 * x64).sum(1))[:, None]
+            step = max(1, CELLS // len(ids))
+            for mine in (own[j : j + step] for j in range(0, len(own) if len(ids) > 1 else 0, step)):
+                s = x[mine] @ x.T
+                s[np.arange(len(mine)), mine] = -9
                 m = min(k + 8, s.shape[1])
-                top = np.argpartition(-s, m - 1, axis=1)[:, :m] if m < s.shape[1] else np.tile(np.arange(m), (len(own), 1))
-                x64 = x.astype(np.float64)
-                x64 /= np.sqrt((x64 * x64).sum(1))[:, None]
+                top = np.argpartition(-s, m - 1, axis=1)[:, :m] if m < s.shape[1] else np.tile(np.arange(m), (len(mine), 1))
                 exact = np.zeros(top.shape)
                 for e in range(dim):  # in the same order in every window
-                    exact += x64[own, e][:, None] * x64[top, e]
+                    exact += x64[mine, e][:, None] * x64[top, e]
                 exact = np.round(exact, DIGITS)
                 exact[np.take_along_axis(s, top, 1) < -8] = -9
                 order_ = np.lexsort((ids[top], -exact), axis=1)[:, :k]
                 top, exact = np.take_along_axis(top, order_, 1), np.take_along_axis(exact, order_, 1)
-                for r, q in enumerate(own):
+                for r, q in enumerate(mine):
                     ok = exact[r] > -8
                     if ok.any():
                         out_q.append(ids[q])
