@@ -138,6 +138,14 @@ def test_ann_windows_grow(spark):
     assert len(got) == 60_000 and len(want & {(r["vec_id"], r["neighbour"]) for r in got}) / len(want) >= 0.9
 
 
+def test_ann_ties(spark):
+    # all similarities among the first 100 round to 1, though those of greater ids are nearer to each other
+    rows = [(i, [1.0, 0.0025 * (1 - i / 100), *[0.0] * 14]) for i in range(100)] + [(100 + i, v.tolist()) for i, v in enumerate(np.random.default_rng(4).standard_normal((100, 16)))]
+    got = hilbert_ann.neighbours(spark.createDataFrame(rows, "vec_id long, embedding array<float>"), curves=1).where("vec_id < 100").collect()
+    by = {i: [r["neighbour"] for r in sorted(got, key=lambda r: r["rank"]) if r["vec_id"] == i] for i in range(100)}
+    assert all(n == [j for j in range(11) if j != i][:10] for i, n in by.items())
+
+
 def test_language_id(odd, none, docs):
     known = [r for r in docs.select("doc_id", "text", "lang").collect() if r["lang"] and len(r["text"].split()) > 20]
     fit = language_id.fit([r["text"] for r in known[::2]], [r["lang"] for r in known[::2]])

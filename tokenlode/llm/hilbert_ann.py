@@ -88,7 +88,8 @@ def neighbours(vectors: DataFrame, k: int = K, curves: int = CURVES, block: int
     """(vec_id, rank, neighbour, similarity): the k most similar others of each row, by cosine.
 
     A block has `block` rows or `share` of all, if that is more; the halo grows
-    along. Similarities are rounded to DIGITS; ties go to the lesser id. Rows with a
+    along. Similarities are rounded to DIGITS; ties go to the lesser id of those
+    that share a window with the row. Rows with a
     null id or vector, with nulls, infinities or NaN in it, of another length
     than most, or of zeros only, are left out. Of rows that share an id the one
     with the least vector counts.
@@ -165,25 +166,26 @@ def neighbours(vectors: DataFrame, k: int = K, curves: int = CURVES, block: int
             out_q, out_n, out_s = [], [], []
             x64 = x.astype(np.float64)
             x64 /= np.sqrt((x64 * x64).sum(1))[:, None]
+            x64 = np.ascontiguousarray(x64.T)
             step = max(1, CELLS // len(ids))
             for mine in (own[j : j + step] for j in range(0, len(own) if len(ids) > 1 else 0, step)):
                 s = x[mine] @ x.T
                 s[np.arange(len(mine)), mine] = -9
-                m = min(k + 8, s.shape[1])
-                top = np.argpartition(-s, m - 1, axis=1)[:, :m] if m < s.shape[1] else np.tile(np.arange(m), (len(mine), 1))
-                exact = np.zeros(top.shape)
+                m = len(ids) - min(k, len(ids) - 1)
+                # all that may tie with the k-th: by rounding to DIGITS, and by that of two 32-bit products
+                r, c = np.nonzero(s >= np.partition(s, m, axis=1)[:, m, None] - (10.0**-DIGITS + (dim + 4) * 2.0**-23))
+                exact = np.zeros(len(r))
                 for e in range(dim):  # in the same order in every window
-                    exact += x64[mine, e][:, None] * x64[top, e]
+                    exact += x64[e, mine[r]] * x64[e, c]
                 exact = np.round(exact, DIGITS)
-                exact[np.take_along_axis(s, top, 1) < -8] = -9
-                order_ = np.lexsort((ids[top], -exact), axis=1)[:, :k]
-                top, exact = np.take_along_axis(top, order_, 1), np.take_along_axis(exact, order_, 1)
-                for r, q in enumerate(mine):
-                    ok = exact[r] > -8
-                    if ok.any():
-                        out_q.append(ids[q])
-                        out_n.append(ids[top[r][ok]])
-                        out_s.append(exact[r][ok])
+                by = np.lexsort((ids[c], -exact, r))
+                near, exact = ids[c[by]], exact[by]
+                ends = np.searchsorted(r, np.arange(len(mine) + 1))
+                for q, lo, hi in zip(mine, ends, ends[1:]):
+                    some = slice(lo, min(hi, lo + k))
+                    out_q.append(ids[q])
+                    out_n.append(near[some])
+                    out_s.append(exact[some])
             return pa.table([pa.array(out_q, pa.int64()), pa.array(out_n, pa.list_(pa.int64())), pa.array(out_s, pa.list_(pa.float64()))], names=["q", "n", "s"])
 
         best = scratch(spark, "neighbours")
