@@ -2,38 +2,98 @@
 
 from __future__ import annotations
 
-import tempfile
 import uuid
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..sources.shared import shared_dir
+
+#: Bits of `bloom`; beyond some tens of millions of values it lets more pass, which costs time but changes no result.
+BITS = 1 << 26
+_made: list[str] = []
+
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     """One of the given Parquet tables."""
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-def shared_dir(spark: SparkSession) -> str:
-    """The folder that all executors share, from ``spark.checkpoint.dir``.
+def scratch(spark: SparkSession, label: str) -> str:
+    """A new path in the shared folder."""
+    _made.append(f"{shared_dir(spark)}/{label}-{uuid.uuid4().hex}")
+    return _made[-1]
 
-    It is set here only where it is unset and the session is local, as in
-    tests; on a cluster a missing setting is an error, since a machine-local
-    folder would be lost with its machine.
-    """
-    at = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
-    if at:
-        return at.rstrip("/")
-    if not spark.sparkContext.master.startswith("local"):
-        raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
-    at = "file://" + tempfile.mkdtemp(prefix="tokenlode-")
-    spark.sparkContext.setCheckpointDir(at)
-    return at
 
+class Scope:
+    """Deletes on leaving all that `scratch` gave within, but for what is kept."""
 
-def scratch(spark: SparkSession, label: str) -> str:
-    """A new path in the shared folder."""
-    return f"{shared_dir(spark)}/{label}-{uuid.uuid4().hex}"
+    def __init__(self, spark: SparkSession):
+        self.spark, self.kept = spark, set()
+
+    def keep(self, path: str) -> None:
+        self.kept.add(path)
+
+    def __enter__(self) -> Scope:
+        self.first = len(_made)
+        return self
+
+    def __exit__(self, *_) -> None:
+        for path in _made[self.first :]:
+            if path not in self.kept:
+                delete(self.spark, path)
+        _made[self.first :] = [p for p in _made[self.first :] if p in self.kept]
+
+
+class Tables:
+    """Tables in the shared folder that can be deleted one by one."""
+
+    def __init__(self, spark: SparkSession):
+        self.spark, self.paths = spark, []
+
+    def written(self, df: DataFrame, label: str) -> DataFrame:
+        """As `materialise`."""
+        path = scratch(self.spark, label)
+        df.write.parquet(path)
+        out = self.spark.read.schema(df.schema).parquet(path)
+        self.paths.append((out, path))
+        return out
+
+    def delete(self, df: DataFrame) -> None:
+        for k, (x, path) in enumerate(self.paths):
+            if x is df:
+                delete(self.spark, path)
+                del self.paths[k]
+                return
+
+
+class Bloom:
+    """A bit set of fixed size on every executor; `holds` is true for all values that are in it, and for a few others."""
+
+    def __init__(self, spark: SparkSession, bits: np.ndarray):
+        self.bits = spark.sparkContext.broadcast(bits)
+
+    @staticmethod
+    def places(value: Column) -> list[Column]:
+        return [F.pmod(F.xxhash64(F.lit(k), value), F.lit(BITS)).cast("int").alias(f"p{k}") for k in range(2)]
+
+    def holds(self, *places: pa.Array) -> np.ndarray:
+        out = True
+        for p in (x.to_numpy(zero_copy_only=False) for x in places):
+            out = out & (self.bits.value[p >> 6] >> (p & 63).astype(np.uint64) & np.uint64(1)).astype(bool)
+        return out
+
+
+def bloom(values: DataFrame) -> Bloom:
+    """Of a table of one column. Executors set the bits; the driver gets words that aren't 0, 16 MB at most."""
+    spark = values.sparkSession
+    p = values.select(F.explode(F.array(*Bloom.places(F.col(values.columns[0])))).alias("p"))
+    w = p.groupBy(F.shiftright("p", 6).alias("w")).agg(F.bit_or(F.expr("shiftleft(1L, p & 63)")).alias("b")).toArrow()
+    bits = np.zeros(BITS >> 6, np.uint64)
+    bits[w["w"].to_numpy()] = w["b"].to_numpy().view(np.uint64)
+    return Bloom(spark, bits)
 
 
 def materialise(df: DataFrame, label: str) -> DataFrame:
