@@ -5,7 +5,7 @@ from __future__ import annotations
 import uuid
 
 import numpy as np
-import pyarrow as pa
+import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -79,13 +79,23 @@ class Bloom:
     def places(value: Column) -> list[Column]:
         return [F.pmod(F.xxhash64(F.lit(k), value), F.lit(BITS)).cast("int").alias(f"p{k}") for k in range(2)]
 
-    def holds(self, *places: pa.Array) -> np.ndarray:
+    def holds(self, *places) -> np.ndarray:
         out = True
-        for p in (x.to_numpy(zero_copy_only=False) for x in places):
+        for p in map(np.asarray, places):
             out = out & (self.bits.value[p >> 6] >> (p & 63).astype(np.uint64) & np.uint64(1)).astype(bool)
         return out
 
 
+    def test(self, value: Column) -> Column:
+        """`holds` as a column: values that surely aren't in the set are false. Nulls are values too."""
+
+        @F.pandas_udf("boolean")
+        def run(a: pd.Series, b: pd.Series) -> pd.Series:
+            return pd.Series(self.holds(a, b))
+
+        return run(*Bloom.places(value))
+
+
 def bloom(values: DataFrame) -> Bloom:
     """Of a table of one column. Executors set the bits; the driver gets words that aren't 0, 16 MB at most."""
     spark = values.sparkSession

@@ -8,9 +8,14 @@ variable fields and generalise to <*>. What results is a line's template; it
 stands for lines of other documents only if enough of it is constant. Lines
 of templates that recur over enough documents are dropped.
 
-Leaves that too few documents reach are left out by counting, which is exact:
-no template within can recur. So the tokens of ordinary prose are never
-exchanged.
+A long line needs no template to be told: where it recurs word for word in
+as few as two different texts, it stays in the first of them and is dropped
+from the others.
+
+Leaves that too few documents reach are left out by counting their hashes,
+which loses nothing: no template within can recur. Lines of other leaves pass a
+bit set of fixed size, so few tokens of ordinary prose are exchanged, and
+those of them that are don't reach the count again.
 """
 
 from __future__ import annotations
@@ -18,57 +23,73 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import materialise, named
+from .common import bloom, materialise, named
 
 #: Leading tokens that the tree looks at, documents that make a template recur, and its least constant share.
 DEPTH, MIN_DOCS, CONSTANT = 3, 8, 0.6
-VAR = "<*>"
+#: Tokens of a line that recurs from two texts on.
+LONG = 20
+VAR, TOKEN = "<*>", "[^ \\t\\r]+"
 
 
 def lines(docs: DataFrame, depth: int = DEPTH) -> DataFrame:
-    """(id, hash, no, tokens, leaf) of each line that has tokens."""
+    """(id, hash, no, line, n, leaf) of each line that has tokens, n of them."""
     d = docs.select(named(docs, "doc_id").alias("id"), named(docs, "text").alias("text")).where("text IS NOT NULL")
-    d = d.select("id", F.md5("text").alias("hash"), F.posexplode(F.split("text", "\n")).alias("no", "line"))
-    d = d.select("id", "hash", "no", F.regexp_extract_all("line", F.lit("[^ \\t\\r]+"), 0).alias("tokens")).where("size(tokens) > 0")
-    head = F.transform(F.slice("tokens", 1, depth), lambda t: F.when(t.rlike("[0-9]"), VAR).otherwise(t))
-    return d.withColumn("leaf", F.concat_ws(" ", F.size("tokens").cast("string"), F.array_join(head, " ")))
-
-
-def dropped(docs: DataFrame, depth: int = DEPTH, min_docs: int = MIN_DOCS, constant: float = CONSTANT) -> DataFrame:
-    """(id, hash, no, template) of the lines that go."""
-    all_ = lines(docs, depth)
-    # a text's copies count once
-    live = all_.select("leaf", "hash").distinct().groupBy("leaf").agg(F.count("*").alias("texts")).where(F.col("texts") >= min_docs).select("leaf")
-    s = all_.join(live, "leaf")
+    d = d.select("id", F.unhex(F.md5("text")).alias("hash"), F.posexplode(F.split("text", "\n")).alias("no", "line"))
+    d = d.withColumn("n", F.regexp_count("line", F.lit(TOKEN))).where("n > 0")
+    head = F.slice(F.filter(F.split(F.ltrim("line", F.lit(" \t\r")), "[ \\t\\r]+", depth + 1), lambda t: t != ""), 1, depth)
+    return d.withColumn("leaf", F.concat_ws(" ", F.col("n").cast("string"), F.array_join(F.transform(head, lambda t: F.when(t.rlike("[0-9]"), VAR).otherwise(t)), " ")))
+
+
+def often(rows: DataFrame, by: str, of: str, least: int) -> DataFrame:
+    """The values of by with at least so many different ones of `of`."""
+    return rows.select(by, of).distinct().groupBy(by).agg(F.count("*").alias("n")).where(F.col("n") >= least).select(by)
+
+
+def templates(docs: DataFrame, depth: int = DEPTH, min_docs: int = MIN_DOCS, constant: float = CONSTANT) -> DataFrame:
+    """(id, hash, no, template) of the lines whose template recurs."""
+    all_ = lines(docs, depth).withColumn("h", F.xxhash64("leaf"))
+    maybe = bloom(often(all_.select("h", F.xxhash64("hash").alias("t")), "h", "t", min_docs))
+    s = all_.where(maybe.test(F.col("h"))).select("leaf", "id", "hash", "no", F.regexp_extract_all("line", F.lit(TOKEN), 0).alias("tokens"))
     s = s.withColumn("tokens", F.transform("tokens", lambda t: F.when(t.rlike("[0-9]"), VAR).otherwise(t)))
-    s = materialise(s, "live-lines")
-    each = s.select("leaf", "hash", F.posexplode("tokens").alias("at", "token")).distinct()
-    common = each.groupBy("leaf", "at", "token").agg(F.count("*").alias("texts"))
-    common = common.groupBy("leaf", "at").agg(F.collect_list(F.when((F.col("texts") >= min_docs) & (F.col("token") != VAR), F.col("token"))).alias("tokens"))
-    common = common.groupBy("leaf").agg(F.sort_array(F.collect_list(F.struct("at", "tokens"))).alias("common"))
+    s = materialise(s, "maybe-live")
+    s = s.join(often(s, "leaf", "hash", min_docs), "leaf")  # a text's copies count once
+    each = s.select("leaf", "hash", F.posexplode("tokens").alias("at", "token")).where(F.col("token") != VAR).distinct()
+    common = each.groupBy("leaf", "at", "token").agg(F.count("*").alias("texts")).where(F.col("texts") >= min_docs)
+    common = common.groupBy("leaf", "at").agg(F.collect_list("token").alias("tokens"))
+    common = common.groupBy("leaf").agg(F.map_from_entries(F.collect_list(F.struct("at", "tokens"))).alias("common"))
     t = s.join(common, "leaf")
-    kept = F.transform("tokens", lambda x, i: F.when(F.array_contains(F.get(F.col("common"), i)["tokens"], x), x).otherwise(VAR))
+    kept = F.transform("tokens", lambda x, i: F.when(F.array_contains(F.coalesce(F.try_element_at("common", i), F.array().cast("array<string>")), x), x).otherwise(VAR))
     t = t.select("id", "hash", "no", kept.alias("kept"))
     t = t.where(F.size(F.filter("kept", lambda x: x != VAR)) >= F.size("kept") * constant)
     t = materialise(t.select("id", "hash", "no", F.array_join("kept", " ").alias("template")), "templates")
-    often = t.select("template", "hash").distinct().groupBy("template").agg(F.count("*").alias("texts")).where(F.col("texts") >= min_docs).select("template")
-    return t.join(often, "template")
+    return t.join(often(t, "template", "hash", min_docs), "template")
+
+
+def repeats(docs: DataFrame, long: int = LONG) -> DataFrame:
+    """(id, hash, no) of long lines that another text has as well, but for the first such text, by its least id (null last), then hash."""
+    d = lines(docs).where(F.col("n") >= long)
+    d = materialise(d.select("id", "hash", "no", F.unhex(F.md5(F.array_join(F.regexp_extract_all("line", F.lit(TOKEN), 0), " "))).alias("line")), "long-lines")
+    first = d.groupBy("line").agg(F.min(F.struct(F.col("id").isNull().alias("none"), "id", "hash")).alias("f"), F.min("hash").alias("a"), F.max("hash").alias("b"))
+    return d.join(first.where("a <> b").select("line", F.col("f.hash").alias("stays")), "line").where("hash <> stays").select("id", "hash", "no")
 
 
-def line_dedup(docs: DataFrame, depth: int = DEPTH, min_docs: int = MIN_DOCS, constant: float = CONSTANT) -> DataFrame:
+def line_dedup(docs: DataFrame, depth: int = DEPTH, min_docs: int = MIN_DOCS, constant: float = CONSTANT, long: int = LONG) -> DataFrame:
     """(doc_id, text, n_dropped), a row for each row of docs.
 
     A template recurs if min_docs different texts hold it: exact copies of a
     document count as one, and so do repeats within it. All lines of
-    a recurring template go. Lines without tokens stay; the text of a document
+    a recurring template go. Of a line of `long` tokens or more that different texts have word
+    for word (white space aside), those of the first text stay (and of its copies) and the others go. Lines without tokens stay; the text of a document
     that loses all of its lines is empty. A null text stays null with
     0 dropped, an empty one empty. Rows that share id and text lose the same
-    lines. Null ids are ids like others. An empty table gives an empty one.
+    lines. Null ids are ids like others, and come last. An empty table gives an empty one.
     Other columns don't matter.
     """
-    gone = dropped(docs, depth, min_docs, constant).groupBy("id", "hash").agg(F.collect_set("no").alias("gone"))
+    gone = templates(docs, depth, min_docs, constant).select("id", "hash", "no").unionByName(repeats(docs, long))
+    gone = materialise(gone.groupBy("id", "hash").agg(F.collect_set("no").alias("gone")), "gone")
     d = docs.select(named(docs, "doc_id").alias("doc_id"), named(docs, "text").alias("text"))
-    both = d.join(gone, d["doc_id"].eqNullSafe(gone["id"]) & (F.md5(d["text"]) == gone["hash"]), "left")
+    both = d.join(gone, d["doc_id"].eqNullSafe(gone["id"]) & (F.unhex(F.md5(d["text"])) == gone["hash"]), "left")
     kept = F.filter(F.split("text", "\n"), lambda x, i: ~F.array_contains("gone", i))
     return both.select(
         "doc_id", F.when(F.col("gone").isNull(), F.col("text")).otherwise(F.array_join(kept, "\n")).alias("text"), F.when(F.col("gone").isNull(), 0).otherwise(F.size("gone")).alias("n_dropped")
@@ -84,8 +105,10 @@ WITH d AS (
   SELECT doc_id, md5(text) AS h, string_split(text, chr(10)) AS parts FROM documents WHERE text IS NOT NULL
 ), e AS (
   SELECT doc_id, h, unnest(parts) AS line, unnest(range(len(parts))) AS no FROM d
+), raw AS (
+  SELECT doc_id, h, no, regexp_extract_all(line, '[^ \t\r]+') AS raw FROM e
 ), k AS (
-  SELECT doc_id, h, no, list_transform(regexp_extract_all(line, '[^ \t\r]+'), lambda x: CASE WHEN regexp_matches(x, '[0-9]') THEN '{VAR}' ELSE x END) AS tokens FROM e
+  SELECT doc_id, h, no, list_transform(raw, lambda x: CASE WHEN regexp_matches(x, '[0-9]') THEN '{VAR}' ELSE x END) AS tokens FROM raw
 ), l AS (
   SELECT *, len(tokens)::VARCHAR || ' ' || array_to_string(tokens[1:{DEPTH}], ' ') AS leaf FROM k WHERE len(tokens) > 0
 ), live AS (
@@ -100,8 +123,13 @@ WITH d AS (
   GROUP BY doc_id, h, no HAVING count(c.token) >= count(*) * {CONSTANT}
 ), often AS (
   SELECT template FROM t GROUP BY template HAVING count(DISTINCT h) >= {MIN_DOCS}
+), long AS (
+  SELECT doc_id, h, no, array_to_string(raw, ' ') AS line FROM raw WHERE len(raw) >= {LONG}
+), first AS (
+  SELECT line, first(h ORDER BY doc_id NULLS LAST, h) AS stays FROM long GROUP BY line HAVING count(DISTINCT h) > 1
 ), gone AS (
   SELECT doc_id, h, no FROM t WHERE template IN (SELECT template FROM often)
+  UNION SELECT doc_id, h, no FROM long JOIN first USING (line) WHERE h <> stays
 ), n AS (
   SELECT doc_id, h, count(*) AS n FROM gone GROUP BY doc_id, h
 ), r AS (
