@@ -3,16 +3,18 @@
 Vectors are projected to a few dimensions, shifted and ordered along a
 Hilbert curve, again and again with other projections and shifts. Spark
 range-partitions and sorts each order; it is cut into blocks, and each block
-gets the ends of its two neighbours as well. Within such a window every row
-is compared with every row. Over all curves a row's best are merged and
+gets the ends of its two neighbours as well. Within such a window queries
+are compared with every row. Over all curves a query's best are merged and
 reranked by exact similarity.
 
-Every row is a query. A curve finds a true neighbour if it lies in the same
+Queries are the rows whose id is divisible by `every`, against all rows: within
+a window the queries of its block are compared with every row of it, whatever
+their number. A curve finds a true neighbour if it lies in the same
 window; more curves or wider windows find more. How many are needed depends on
 the data: among vectors without structure in many dimensions recall follows
 the share of the table that the windows span. So windows grow with the table,
-and with them the comparisons, by the square of the rows; the README has the
-recall. A worker holds a whole window, 1 / 32 of a large table.
+and with them the comparisons, by the square of the rows over `every`; the README has the
+recall. A worker takes a window of 1 / 32 of a large table in portions.
 """
 
 from __future__ import annotations
@@ -36,6 +38,8 @@ SHARE = 1 / 64
 #: Similarities that a window's comparison holds at once.
 CELLS = 1 << 21
 SEED, DIGITS = 5, 5
+#: Queries are the rows with an id divisible by this.
+EVERY = 100
 
 
 def hilbert(x: np.ndarray, bits: int) -> np.ndarray:
@@ -84,8 +88,8 @@ def usable(vectors: DataFrame, id_col: str, vec_col: str) -> tuple[DataFrame, in
     return d.where(F.size("vec") == dim).groupBy("id").agg(F.min("vec").alias("vec")), dim
 
 
-def neighbours(vectors: DataFrame, k: int = K, curves: int = CURVES, block: int = BLOCK, halo: int = HALO, dims: int = DIMS, seed: int = SEED, id_col: str = "vec_id", vec_col: str = "embedding", share: float = SHARE) -> DataFrame:
-    """(vec_id, rank, neighbour, similarity): the k most similar others of each row, by cosine.
+def neighbours(vectors: DataFrame, k: int = K, curves: int = CURVES, block: int = BLOCK, halo: int = HALO, dims: int = DIMS, seed: int = SEED, id_col: str = "vec_id", vec_col: str = "embedding", share: float = SHARE, every: int = 1) -> DataFrame:
+    """(vec_id, rank, neighbour, similarity): the k most similar others of each row whose id is divisible by every, by cosine.
 
     A block has `block` rows or `share` of all, if that is more; the halo grows
     along. Similarities are rounded to DIGITS; ties go to the lesser id of those
@@ -162,11 +166,9 @@ def neighbours(vectors: DataFrame, k: int = K, curves: int = CURVES, block: int
             by = np.lexsort((place_,))
             ids, place_ = ids[by], place_[by]
             x = np.frombuffer(b"".join(t["vec"].to_pylist()), np.float32).reshape(-1, dim)[by]
-            own = np.flatnonzero(place_ // block == key[1].as_py())
+            own = np.flatnonzero((place_ // block == key[1].as_py()) & (ids % every == 0))
             out_q, out_n, out_s = [], [], []
-            x64 = x.astype(np.float64)
-            x64 /= np.sqrt((x64 * x64).sum(1))[:, None]
-            x64 = np.ascontiguousarray(x64.T)
+            norm = np.sqrt((x.astype(np.float64) ** 2).sum(1))
             step = max(1, CELLS // len(ids))
             for mine in (own[j : j + step] for j in range(0, len(own) if len(ids) > 1 else 0, step)):
                 s = x[mine] @ x.T
@@ -176,7 +178,7 @@ def neighbours(vectors: DataFrame, k: int = K, curves: int = CURVES, block: int
                 r, c = np.nonzero(s >= np.partition(s, m, axis=1)[:, m, None] - (10.0**-DIGITS + (dim + 4) * 2.0**-23))
                 exact = np.zeros(len(r))
                 for e in range(dim):  # in the same order in every window
-                    exact += x64[e, mine[r]] * x64[e, c]
+                    exact += (x[mine[r], e] / norm[mine[r]]) * (x[c, e] / norm[c])
                 exact = np.round(exact, DIGITS)
                 by = np.lexsort((ids[c], -exact, r))
                 near, exact = ids[c[by]], exact[by]
@@ -201,7 +203,7 @@ def neighbours(vectors: DataFrame, k: int = K, curves: int = CURVES, block: int
 
 
 def op8_ann(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return neighbours(spark.read.parquet(f"{sf_dir}/embeddings.parquet"))
+    return neighbours(spark.read.parquet(f"{sf_dir}/embeddings.parquet"), every=EVERY)
 
 
 #: Exact, as the curves are where a window holds the whole table, as at the size where the two are compared.
@@ -210,7 +212,7 @@ WITH v AS (
   SELECT vec_id, list_transform(embedding, lambda x: x::DOUBLE) AS e FROM embeddings
 ), p AS (
   SELECT a.vec_id, b.vec_id AS neighbour, round(list_dot_product(a.e, b.e) / sqrt(list_dot_product(a.e, a.e)) / sqrt(list_dot_product(b.e, b.e)), {DIGITS}) AS similarity
-  FROM v a JOIN v b ON a.vec_id <> b.vec_id
+  FROM v a JOIN v b ON a.vec_id <> b.vec_id WHERE a.vec_id % {EVERY} = 0
 )
 SELECT vec_id, rank::INT AS rank, neighbour, similarity
 FROM (SELECT *, row_number() OVER (PARTITION BY vec_id ORDER BY similarity DESC, neighbour) AS rank FROM p) WHERE rank <= {K}
