@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..sources.corpus import Corpus
+from ..sources.shared import written
 from .match import find, prefix_counts
 
 
@@ -16,11 +17,23 @@ def shares(counts: DataFrame, *by: str) -> DataFrame:
 
 
 def ntd(corpus: Corpus, prompts: DataFrame, sep: bool = False) -> DataFrame:
-    """(qid, token, cont_cnt, prompt_cnt, prob), exact. The end of a document is the token eos; a prompt that doesn't occur has no rows."""
+    """(qid, token, cont_cnt, prompt_cnt, prob), exact. The end of a document is the token eos; a prompt that doesn't occur has no rows.
+
+    The empty prompt goes on with every token of the corpus, a separator being eos; such prompts share one aggregation.
+    """
     nxt = F.coalesce(F.get("next", F.lit(0)), F.lit(corpus.eos))
     if sep:
         nxt = F.when(nxt == F.lit(corpus.sep), F.lit(corpus.eos)).otherwise(nxt)
-    return shares(find(corpus, prompts, sep).groupBy("qid", nxt.alias("token")).agg(F.count("*").alias("cont_cnt")), "qid")
+    some = find(corpus, prompts.where(F.size("ids") > 0), sep).groupBy("qid", nxt.alias("token")).agg(F.count("*").alias("cont_cnt"))
+    return shares(some.unionByName(prompts.where(F.size("ids") == 0).select("qid").crossJoin(_every(corpus))), "qid")  # the result has each token for each
+
+
+def _every(corpus: Corpus) -> DataFrame:
+    """(token, cont_cnt) over all positions."""
+    kind = corpus.docs.schema["tokens"].dataType.elementType
+    words = corpus.docs.select(F.explode("tokens").alias("token")).groupBy("token").agg(F.count("*").alias("cont_cnt"))
+    ends = corpus.docs.agg(F.count("*").alias("cont_cnt")).where("cont_cnt > 0").select(F.lit(corpus.eos).cast(kind).alias("token"), "cont_cnt")
+    return words.unionByName(ends).groupBy("token").agg(F.sum("cont_cnt").alias("cont_cnt"))
 
 
 def approximate(dist: DataFrame, max_support: int) -> DataFrame:
@@ -52,40 +65,57 @@ def approximate(dist: DataFrame, max_support: int) -> DataFrame:
 def prob(corpus: Corpus, prompts: DataFrame, eos_as_doc_end: bool = False, sep: bool = False) -> DataFrame:
     """prompts(qid, ids, cont) -> (qid, prompt_cnt, cont_cnt, prob); prob is -1 where the prompt doesn't occur.
 
-    cont is taken literally; with eos_as_doc_end the token eos is the end of a document as well.
+    cont is taken literally; with eos_as_doc_end the token eos is the end of a document as well. sep lets ids
+    and cont hold the separator, which is the token behind each document's last but the shard's.
     """
     nxt = F.get("next", F.lit(0))
     hit = nxt == F.col("cont")
     if eos_as_doc_end:
-        hit = hit | ((F.col("cont") == F.lit(corpus.eos)) & nxt.isNull())
-    got = find(corpus, prompts.select("qid", "ids"), sep).join(prompts.select("qid", "cont"), "qid")
+        hit = hit | ((F.col("cont") == F.lit(corpus.eos)) & (nxt.isNull() | (nxt == F.lit(corpus.sep))))
+    got = find(corpus, prompts.where(F.size("ids") > 0).select("qid", "ids"), sep).join(prompts.select("qid", "cont"), "qid")
     got = got.groupBy("qid").agg(F.count("*").alias("prompt_cnt"), F.count_if(F.coalesce(hit, F.lit(False))).alias("cont_cnt"))
+    # the empty prompt: what goes on is the token at each position
+    empty = prompts.where(F.size("ids") == 0).select("qid", "cont")
+    tokens = corpus.docs.select(F.explode("tokens").alias("cont")).groupBy("cont").agg(F.count("*").alias("n"))
+    docs = corpus.docs.agg(F.count("*").alias("docs"), F.coalesce(F.sum(F.size("tokens").cast("bigint")), F.lit(0)).alias("tokens"))
+    ends = F.col("cont") == F.lit(corpus.sep) if sep else F.lit(False)
+    if eos_as_doc_end:
+        ends = ends | (F.col("cont") == F.lit(corpus.eos))
+    empty = empty.join(tokens, "cont", "left").crossJoin(docs)  # one row
+    empty = empty.select("qid", (F.col("tokens") + F.col("docs")).alias("prompt_cnt"), (F.coalesce("n", F.lit(0)) + F.when(ends, F.col("docs")).otherwise(0)).alias("cont_cnt"))
+    got = got.unionByName(empty)
     zero = F.lit(0).cast("bigint")
     out = prompts.select("qid").join(got, "qid", "left").select("qid", F.coalesce("prompt_cnt", zero).alias("prompt_cnt"), F.coalesce("cont_cnt", zero).alias("cont_cnt"))
     return out.withColumn("prob", F.when(F.col("prompt_cnt") > 0, F.col("cont_cnt") / F.col("prompt_cnt")).otherwise(-1.0))
 
 
-def backoff(corpus: Corpus, prompts: DataFrame) -> DataFrame:
+def backoff(corpus: Corpus, prompts: DataFrame, sep: bool = False) -> DataFrame:
     """prompts(qid, ids, ..) with ids cut to its longest suffix that occurs, and suffix_len.
 
-    Prompt and corpus are read backwards, so it is a longest prefix.
+    Prompt and corpus are read backwards, so it is a longest prefix. sep lets ids hold separators: the corpus is
+    then the stream, each document behind as much of the one before as the longest prompt.
     """
-    back = Corpus(corpus.docs.withColumn("tokens", F.reverse("tokens")), corpus.sep, corpus.eos, corpus.width)
+    if sep:
+        most = prompts.agg(F.max(F.size("ids"))).first()[0] or 0
+        d = corpus.stream(most, before=True)
+    else:
+        d = corpus.docs
+    back = Corpus(d.withColumn("tokens", F.reverse("tokens")), corpus.sep, corpus.eos, corpus.width)
     n = prefix_counts(back, prompts.select(F.col("qid").alias("key"), F.reverse("ids").alias("seq"))).groupBy("key").agg(F.max("n").alias("suffix_len"))
     out = prompts.join(n, prompts["qid"] == n["key"], "left").drop("key").withColumn("suffix_len", F.coalesce("suffix_len", F.lit(0)))
-    return out.withColumn("ids", F.slice("ids", F.size("ids") - F.col("suffix_len") + 1, F.col("suffix_len")))
+    return written(out.withColumn("ids", F.slice("ids", F.size("ids") - F.col("suffix_len") + 1, F.col("suffix_len"))), "backoff")
 
 
-def infgram_ntd(corpus: Corpus, prompts: DataFrame) -> DataFrame:
+def infgram_ntd(corpus: Corpus, prompts: DataFrame, sep: bool = False) -> DataFrame:
     """`ntd` of each prompt's longest suffix that occurs, with suffix_len."""
-    b = backoff(corpus, prompts)
-    return ntd(corpus, b.select("qid", "ids")).join(b.select("qid", "suffix_len"), "qid")
+    b = backoff(corpus, prompts, sep)
+    return ntd(corpus, b.select("qid", "ids"), sep).join(b.select("qid", "suffix_len"), "qid")
 
 
-def infgram_prob(corpus: Corpus, prompts: DataFrame, eos_as_doc_end: bool = False) -> DataFrame:
+def infgram_prob(corpus: Corpus, prompts: DataFrame, eos_as_doc_end: bool = False, sep: bool = False) -> DataFrame:
     """`prob` of each prompt's longest suffix that occurs, with suffix_len."""
-    b = backoff(corpus, prompts)
-    return prob(corpus, b.select("qid", "ids", "cont"), eos_as_doc_end).join(b.select("qid", "suffix_len"), "qid")
+    b = backoff(corpus, prompts, sep)
+    return prob(corpus, b.select("qid", "ids", "cont"), eos_as_doc_end, sep).join(b.select("qid", "suffix_len"), "qid")
 
 
 def topk(dist: DataFrame, k: int) -> DataFrame:
@@ -105,8 +135,6 @@ def greedy(corpus: Corpus, prompts: DataFrame, n: int) -> DataFrame:
     Ties go by token. It ends after n tokens, or with eos at the end of a document. One scan
     of the corpus finds what follows; a step then takes one aggregation.
     """
-    from ..sources.shared import written
-
     alive = written(continuations(corpus, prompts, n).groupBy("qid", "next").agg(F.count("*").alias("w")), "continuations")
     out = None
     order = Window.partitionBy("qid").orderBy(F.desc("cont_cnt"), "token")

@@ -9,20 +9,24 @@ from pyspark.sql import functions as F
 
 from ..functions.tokens import display
 from ..sources.corpus import Corpus
+from ..sources.shared import running
+
+#: Tokens of a stretch in which pointers look for their document.
+SPAN = 1 << 16
+#: Parts of a query's occurrences.
+PARTS = 64
 
 
 def locate(corpus: Corpus, requests: DataFrame) -> DataFrame:
     """requests(.., shard, ptr) with doc_id, doc_ix, doc_len and pos of the token there.
 
-    An as-of lookup by shard over narrow rows. A separator is at no token: pos is -1.
+    A range join by stretches of SPAN tokens, in each of which a document that reaches into it is listed. A separator is at no token: pos is -1.
     """
-    extra = [c for c in requests.columns if c not in ("shard", "ptr")]
-    lay = corpus.layout().select("shard", F.col("doc_start").alias("o"), F.struct("doc_id", "doc_ix", "doc_start", "doc_len").alias("d"))
-    req = requests.select("shard", F.expr(f"ptr div {corpus.width}").alias("o"), F.struct(*extra, "ptr").alias("r"))
-    both = lay.withColumn("r", F.lit(None).cast(req.schema["r"].dataType)).unionByName(req.withColumn("d", F.lit(None).cast(lay.schema["d"].dataType)))
-    at = Window.partitionBy("shard").orderBy("o", F.col("r").isNotNull()).rowsBetween(Window.unboundedPreceding, 0)
-    got = both.withColumn("d", F.last("d", True).over(at)).where("r IS NOT NULL AND d IS NOT NULL AND o <= d.doc_start + d.doc_len")
-    return got.select("r.*", "shard", "d.*", (F.col("o") - F.col("d.doc_start") - 1).alias("pos"))
+    end = F.col("doc_start") + F.col("doc_len")
+    lay = corpus.layout().withColumn("span", F.explode(F.sequence(F.expr(f"doc_start div {SPAN}"), F.expr(f"(doc_start + doc_len) div {SPAN}"))))
+    req = requests.withColumn("o__", F.expr(f"ptr div {corpus.width}")).withColumn("span", F.expr(f"o__ div {SPAN}"))
+    got = req.join(lay, ["shard", "span"]).where((F.col("o__") >= F.col("doc_start")) & (F.col("o__") <= end))
+    return got.withColumn("pos", F.col("o__") - F.col("doc_start") - 1).drop("o__", "span")
 
 
 def shown(corpus: Corpus, at: DataFrame, before: Column, after: Column) -> DataFrame:
@@ -64,9 +68,15 @@ def by_ix(corpus: Corpus, requests: DataFrame | None, max_disp_len: int) -> Data
 
 
 def first_k(found: DataFrame, k: int) -> DataFrame:
-    """The first k occurrences of each query by shard and pointer, with idx and cnt, how many there are."""
-    by = Window.partitionBy("qid")
-    return found.withColumn("idx", F.row_number().over(by.orderBy("shard", "ptr")).cast("bigint") - 1).withColumn("cnt", F.count("*").over(by)).where(F.col("idx") < k)
+    """The first k occurrences of each query by shard and pointer, with idx and cnt, how many there are.
+
+    Of each part of a query's occurrences the first k are taken first, so none of many occurrences meets in one task.
+    """
+    cnt = found.groupBy("qid").agg(F.count("*").alias("cnt"))
+    part = F.pmod(F.xxhash64("shard", "ptr"), F.lit(PARTS))
+    some = found.withColumn("k__", F.row_number().over(Window.partitionBy("qid", part).orderBy("shard", "ptr"))).where(F.col("k__") <= k).drop("k__")
+    got = some.withColumn("idx", F.row_number().over(Window.partitionBy("qid").orderBy("shard", "ptr")).cast("bigint") - 1).where(F.col("idx") < k)
+    return got.join(cnt, "qid")
 
 
 def random_draws(found: DataFrame, maxnum: int, seed: int) -> DataFrame:
@@ -76,8 +86,7 @@ def random_draws(found: DataFrame, maxnum: int, seed: int) -> DataFrame:
     """
     if maxnum <= 0:
         raise ValueError("maxnum must be > 0")
-    by = Window.partitionBy("qid")
-    n = found.withColumn("idx", F.row_number().over(by.orderBy("shard", "ptr")).cast("bigint") - 1)
+    n = running(found.withColumn("one__", F.lit(1).cast("bigint")), ["qid"], ["shard", "ptr"], "one__").withColumn("idx", F.col("upto_one__") - 1).drop("one__", "upto_one__")
     cnt = found.groupBy("qid").agg(F.count("*").alias("cnt"))
     draws = cnt.select("qid", "cnt", F.explode(F.sequence(F.lit(0), F.lit(maxnum - 1))).alias("draw"))
     draws = draws.withColumn("idx", F.pmod(F.xxhash64(F.lit(seed), "qid", "draw"), F.col("cnt")))

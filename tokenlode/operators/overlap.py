@@ -6,37 +6,37 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..sources.corpus import Corpus
+from ..sources.shared import written
 from .documents import shown
-from .match import find, prefix_counts, with_pointers
+from .match import find, text_counts, with_pointers
 from .stats import unigram_logprob
 
 
-def tails(texts: DataFrame) -> DataFrame:
-    """(key STRUCT<qid, l>, seq): the text from each of its positions on."""
-    each = F.posexplode(F.transform(F.sequence(F.lit(1), F.size("ids")), lambda i: F.slice("ids", i, F.size("ids")))).alias("l", "seq")
-    return texts.where(F.size("ids") > 0).select("qid", each).select(F.struct("qid", "l").alias("key"), "seq")
-
-
 def longest(corpus: Corpus, texts: DataFrame, delims: list | None = None, bow: list | None = None) -> DataFrame:
-    """(qid, l, n, seq): the longest match from each position, 0 where the token doesn't occur.
+    """(qid, l, n): the longest match from each position, 0 where the token doesn't occur.
 
     With delims it ends behind the first delimiter before its last token; with
     bow, ids that begin words, it shrinks until such a one, or the text's end, comes next.
     """
-    rows = tails(texts)
-    n = prefix_counts(corpus, rows).groupBy("key").agg(F.max("n").alias("n"))
-    d = rows.join(n, "key", "left").select("key.*", "seq", F.coalesce("n", F.lit(0)).cast("int").alias("n"))
-    return cut(d, delims, bow)
-
-
-def cut(d: DataFrame, delims: list | None, bow: list | None) -> DataFrame:
+    return cut(texts, text_counts(corpus, texts), delims, bow)
+
+
+def cut(texts: DataFrame, counts: DataFrame, delims: list | None, bow: list | None) -> DataFrame:
+    """(qid, l, n) of the longest of counts(qid, l, n, ..), made shorter by delims and bow. The matched part is cut
+    out of the text only where they ask for it."""
+    n = counts.groupBy("qid", "l").agg(F.max("n").alias("n"))
+    t = texts.where(F.size("ids") > 0)
+    d = t.select("qid", F.explode(F.sequence(F.lit(0), F.size("ids") - 1)).alias("l")).join(n, ["qid", "l"], "left").withColumn("n", F.coalesce("n", F.lit(0)).cast("int"))
+    if not delims and bow is None:
+        return d
+    d = d.join(t.select("qid", "ids"), "qid").withColumn("seq", F.slice("ids", F.col("l") + 1, F.col("n") + 1)).withColumn("size", F.size("ids") - F.col("l"))
     if delims:
         at = F.filter(F.transform("seq", lambda t, i: F.when(t.isin(delims) & (i + 1 < F.col("n")), i + 1)), lambda i: i.isNotNull())
         d = d.withColumn("n", F.coalesce(F.get(at, F.lit(0)), F.col("n")))
     if bow is not None:
-        ends = F.filter(F.sequence(F.lit(1), F.size("seq")), lambda i: (i <= F.col("n")) & ((i == F.size("seq")) | F.coalesce(F.get("seq", i).isin(bow), F.lit(False))))
+        ends = F.filter(F.sequence(F.lit(1), F.size("seq")), lambda i: (i <= F.col("n")) & ((i == F.col("size")) | F.coalesce(F.get("seq", i).isin(bow), F.lit(False))))
         d = d.withColumn("n", F.coalesce(F.array_max(ends), F.lit(0)))
-    return d
+    return d.select("qid", "l", "n")
 
 
 def creativity(corpus: Corpus, texts: DataFrame) -> DataFrame:
@@ -44,15 +44,15 @@ def creativity(corpus: Corpus, texts: DataFrame) -> DataFrame:
     return longest(corpus, texts).select("qid", "l", (F.col("l") + F.col("n")).alias("r"))
 
 
-def spans(d: DataFrame, counts: DataFrame, min_len: int, max_cnt: int, bow: list | None = None) -> DataFrame:
-    """Of (qid, l, n, seq) those long and rare enough that no earlier one holds: (qid, l, r, length, count, ids)."""
+def spans(texts: DataFrame, d: DataFrame, counts: DataFrame, min_len: int, max_cnt: int, bow: list | None = None) -> DataFrame:
+    """Of (qid, l, n) those long and rare enough that no earlier one holds: (qid, l, r, length, count, ids)."""
+    d = d.where((F.col("n") >= min_len) & (F.col("n") > 0)).join(counts.withColumnRenamed("cnt", "count"), ["qid", "l", "n"]).where(F.col("count") <= max_cnt)
     if bow is not None:
-        d = d.where(F.get("seq", F.lit(0)).isin(bow))
-    d = d.where((F.col("n") >= min_len) & (F.col("n") > 0)).join(counts.select("key.*", F.col("n"), F.col("cnt").alias("count")), ["qid", "l", "n"]).where(F.col("count") <= max_cnt)
+        d = d.join(texts.select("qid", F.posexplode("ids").alias("l", "t")).where(F.col("t").isin(bow)).drop("t"), ["qid", "l"])
     d = d.withColumn("r", F.col("l") + F.col("n"))
     before = Window.partitionBy("qid").orderBy("l").rowsBetween(Window.unboundedPreceding, -1)
-    d = d.withColumn("had", F.coalesce(F.max("r").over(before), F.lit(0))).where("r > had")
-    return d.select("qid", "l", "r", F.col("n").alias("length"), "count", F.slice("seq", 1, F.col("n")).alias("ids"))
+    d = d.withColumn("had", F.coalesce(F.max("r").over(before), F.lit(0))).where("r > had").join(texts.select("qid", "ids"), "qid")
+    return d.select("qid", "l", "r", F.col("n").alias("length"), "count", F.slice("ids", F.col("l") + 1, F.col("n")).alias("ids"))
 
 
 def attribute(corpus: Corpus, texts: DataFrame, delims: list | None = None, min_len: int = 1, max_cnt: int = 10, bow: list | None = None, logprobs: bool = True) -> DataFrame:
@@ -60,13 +60,10 @@ def attribute(corpus: Corpus, texts: DataFrame, delims: list | None = None, min_
 
     A token without a log probability, or each where logprobs is off, counts -10000.
     """
-    rows = tails(texts)
-    counts = prefix_counts(corpus, rows)
-    n = counts.groupBy("key").agg(F.max("n").alias("n"))
-    d = cut(rows.join(n, "key", "left").select("key.*", "seq", F.coalesce("n", F.lit(0)).cast("int").alias("n")), delims, bow)
-    s = spans(d, counts, min_len, max_cnt, bow)
+    counts = text_counts(corpus, texts)
+    s = written(spans(texts, cut(texts, counts, delims, bow), counts, min_len, max_cnt, bow), "spans")
     at = with_pointers(corpus, find(corpus, s.select(F.struct("qid", "l").alias("qid"), "ids")))
-    at = at.groupBy("qid").agg(F.sort_array(F.collect_list(F.struct(F.col("shard").alias("s"), "ptr"))).alias("docs")).select("qid.*", "docs")
+    at = at.groupBy("qid").agg(F.sort_array(F.collect_list(F.struct(F.col("shard").alias("s"), "ptr"))).alias("docs")).select("qid.*", "docs")  # count of them, max_cnt at most
     t = s.select("qid", "l", F.explode("ids").alias("token"))
     if logprobs:
         t = t.join(unigram_logprob(corpus), "token", "left").withColumn("logprob", F.coalesce("logprob", F.lit(-10000.0)))
@@ -78,12 +75,10 @@ def attribute(corpus: Corpus, texts: DataFrame, delims: list | None = None, min_
 
 def diff_longest(main: Corpus, other: Corpus, texts: DataFrame, delims: list | None = None, bow: list | None = None) -> DataFrame:
     """(qid, l, n): the longest match, shrunk until the main corpus has it more often than the other."""
-    rows = tails(texts)
-    a, b = prefix_counts(main, rows), prefix_counts(other, rows).withColumnRenamed("cnt", "other")
-    base = a.groupBy("key").agg(F.max("n").alias("n"))
-    base = cut(rows.join(base, "key", "left").select("key.*", "seq", F.coalesce("n", F.lit(0)).cast("int").alias("n")), delims, bow).select(F.struct("qid", "l").alias("key"), F.col("n").alias("most"))
-    more = a.join(b, ["key", "n"], "left").where(F.col("cnt") > F.coalesce("other", F.lit(0))).join(base, "key").where("n <= most").groupBy("key").agg(F.max("n").alias("n"))
-    return base.join(more, "key", "left").select("key.*", F.coalesce("n", F.lit(0)).cast("int").alias("n"))
+    a, b = text_counts(main, texts), text_counts(other, texts).withColumnRenamed("cnt", "other")
+    base = cut(texts, a, delims, bow).withColumnRenamed("n", "most")
+    more = a.join(b, ["qid", "l", "n"], "left").where(F.col("cnt") > F.coalesce("other", F.lit(0))).join(base, ["qid", "l"]).where("n <= most").groupBy("qid", "l").agg(F.max("n").alias("n"))
+    return base.join(more, ["qid", "l"], "left").select("qid", "l", F.coalesce("n", F.lit(0)).cast("int").alias("n"))
 
 
 def blocked(main: Corpus, other: Corpus, needles: DataFrame, ctx: int) -> DataFrame:

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from ..functions.tokens import byte_order, count_bucket
 from ..sources.corpus import Corpus
-from ..sources.shared import written
+from ..sources.shared import running, written
 from .match import windows
 
 
@@ -42,9 +42,18 @@ def unigram_ranges(corpus: Corpus) -> DataFrame:
     Strings order by their bytes and the separator last, ids by their little-endian bytes.
     """
     c = unigram_counts(corpus)
-    key = [F.col("token") == F.lit(corpus.sep), F.col("token")] if isinstance(corpus.sep, str) else [byte_order(F.col("token"), corpus.width)]
-    c = c.withColumn("end_rank", F.sum("cnt").over(Window.partitionBy("shard").orderBy(*key)))
-    return c.select("shard", "token", (F.col("end_rank") - F.col("cnt")).alias("start_rank"), "end_rank")
+    if isinstance(corpus.sep, str):
+        c = c.withColumns({"k1": F.col("token") == F.lit(corpus.sep), "k2": F.col("token")})
+    else:
+        c = c.withColumns({"k1": F.lit(False), "k2": byte_order(F.col("token"), corpus.width)})
+    c = running(c, ["shard"], ["k1", "k2"], "cnt")
+    return c.select("shard", "token", (F.col("upto_cnt") - F.col("cnt")).alias("start_rank"), F.col("upto_cnt").alias("end_rank"))
+
+
+def ranked(rows: DataFrame, *by: str) -> DataFrame:
+    """rows with r, the rank within their shard by the columns by; rows alike in them share the least rank, and are counted before they are sorted."""
+    n = running(rows.groupBy("shard", *by).agg(F.count("*").alias("n")), ["shard"], [*by], "n")
+    return rows.join(n.select("shard", *by, (F.col("upto_n") - F.col("n") + 1).alias("r"), F.col("n").alias("ties")), ["shard", *by])
 
 
 def suffixes(corpus: Corpus, first: int = 8) -> DataFrame:
@@ -61,12 +70,12 @@ def suffixes(corpus: Corpus, first: int = 8) -> DataFrame:
     w = windows(d.withColumn("tokens", key), first)
     at = corpus.layout().select("shard", "doc_id", "doc_start")
     w = w.join(at, ["shard", "doc_id"]).withColumn("at", F.col("doc_start") + F.col("pos"))
-    r = written(w.select("shard", "doc_id", (F.col("pos") - 1).alias("pos"), "at", F.rank().over(Window.partitionBy("shard").orderBy("w")).cast("bigint").alias("r")), "ranks")
+    r = written(ranked(w, "w").select("shard", "doc_id", (F.col("pos") - 1).alias("pos"), "at", "r", "ties"), "ranks")
     step = first
-    while r.groupBy("shard", "r").count().where("count > 1").limit(1).count():
+    while r.where("ties > 1").limit(1).count():
         behind = r.select("shard", (F.col("at") - step).alias("at"), F.col("r").alias("r2"))
-        both = r.join(behind, ["shard", "at"], "left").withColumn("r2", F.coalesce("r2", F.lit(0).cast("bigint")))
-        r = written(both.withColumn("r", F.rank().over(Window.partitionBy("shard").orderBy("r", "r2")).cast("bigint")).drop("r2"), "ranks")
+        both = r.drop("ties").withColumnRenamed("r", "r1").join(behind, ["shard", "at"], "left").withColumn("r2", F.coalesce("r2", F.lit(0).cast("bigint")))
+        r = written(ranked(both, "r1", "r2").select("shard", "doc_id", "pos", "at", "r", "ties"), "ranks")
         step *= 2
     return r.select("shard", (F.col("r") - 1).alias("rank"), "doc_id", "pos")
 

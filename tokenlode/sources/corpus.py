@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 import json
-from dataclasses import dataclass
+from dataclasses import dataclass, field
 from pathlib import Path
 
 import numpy as np
@@ -11,6 +11,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..functions.tokens import tokenize
+from .shared import running, written
 
 WIDTHS = {"u8": 1, "u16": 2, "u32": 4}
 
@@ -28,6 +29,8 @@ class Corpus:
     sep: object = "<sep>"
     eos: object = "<eos>"
     width: int = 4
+    #: Tables made from the corpus when first asked for.
+    made: dict = field(default_factory=dict, compare=False, repr=False)
 
     @classmethod
     def from_texts(cls, texts: DataFrame, shards: int = 1, id_col: str = "doc_id", text_col: str = "text", metadata_col: str | None = None) -> Corpus:
@@ -118,21 +121,44 @@ class Corpus:
         return cls(docs, (1 << 8 * width) - 1, eos, width)
 
     def layout(self) -> DataFrame:
-        """(shard, doc_id, doc_ix, doc_start, doc_len): narrow rows, numbered within their shard, then offset by the shards before."""
-        order = Window.partitionBy("shard").orderBy("doc_id")
-        d = self.docs.select("shard", "doc_id", F.size("tokens").cast("bigint").alias("doc_len"))
-        d = d.withColumn("local", F.row_number().over(order).cast("bigint") - 1).withColumn("doc_start", F.sum(F.col("doc_len") + 1).over(order.rowsBetween(Window.unboundedPreceding, 0)) - F.col("doc_len") - 1)
-        before = self.docs.groupBy("shard").agg(F.count("*").alias("n"))  # a row a shard
-        before = before.select("shard", (F.sum("n").over(Window.orderBy("shard")) - F.col("n")).alias("before"))
-        return d.join(before, "shard").select("shard", "doc_id", (F.col("before") + F.col("local")).alias("doc_ix"), "doc_start", "doc_len")
-
-    def stream(self, n: int) -> DataFrame:
+        """(shard, doc_id, doc_ix, doc_start, doc_len), a written table of narrow rows; made when first asked for."""
+        if "layout" not in self.made:
+            d = self.docs.select("shard", "doc_id", F.size("tokens").cast("bigint").alias("doc_len")).withColumns({"one": F.lit(1).cast("bigint"), "all": F.col("doc_len") + 1})
+            d = running(d, ["shard"], ["doc_id"], "one", "all")
+            before = d.groupBy("shard").agg(F.count("*").alias("n"))  # a row a shard
+            before = before.select("shard", (F.sum("n").over(Window.orderBy("shard")) - F.col("n")).alias("before"))
+            d = d.join(before, "shard").select("shard", "doc_id", (F.col("before") + F.col("upto_one") - 1).alias("doc_ix"), (F.col("upto_all") - F.col("all")).alias("doc_start"), "doc_len")
+            self.made["layout"] = written(d, "layout")
+        return self.made["layout"]
+
+    def stream(self, n: int, before: bool = False) -> DataFrame:
         """docs as stretches of the token stream: the separator, the document, and what follows in
-        the shard up to n tokens; `own` is how many positions are the document's. For needles with separators and for suffix order."""
-        order = Window.partitionBy("shard").orderBy("doc_id")
+        the shard up to n tokens; `own` is how many positions are the document's. For needles with separators and for suffix order.
+
+        With before it is what precedes, in front. A document takes from its neighbour, from the next one
+        if that has too little, and so on: so many joins of n tokens a document as it takes.
+        """
+        at = self.layout().select("shard", "doc_id", "doc_ix")
         d = self.docs.select("shard", "doc_id", F.concat(F.array(F.lit(self.sep)), F.col("tokens")).alias("tokens"))
-        after = F.flatten(F.collect_list(F.slice("tokens", 1, n)).over(order.rowsBetween(1, n)))
-        return d.withColumn("own", F.size("tokens")).withColumn("tokens", F.concat("tokens", F.slice(after, 1, n)))
+        part = F.slice("tokens", -F.least(F.size("tokens"), F.lit(n)), n) if before else F.slice("tokens", 1, n)
+        ends = written(d.select("shard", "doc_id", part.alias("part")).join(at, ["shard", "doc_id"]).select("shard", "doc_ix", "part"), "ends")
+        todo, got, hop = at.select("shard", "doc_id", "doc_ix", F.slice(F.array(F.lit(self.sep)), 1, 0).alias("more")), None, 0
+        while n:
+            hop += 1
+            near = ends.select("shard", (F.col("doc_ix") + (hop if before else -hop)).alias("doc_ix"), "part")
+            joined = F.concat("part", "more") if before else F.concat("more", "part")
+            step = written(todo.join(near, ["shard", "doc_ix"], "left").select("shard", "doc_id", "doc_ix", F.when(F.col("part").isNull(), F.col("more")).otherwise(joined).alias("more"), F.col("part").isNull().alias("end")), "stream")
+            done = F.col("end") | (F.size("more") >= n)
+            got = step.where(done) if got is None else got.unionByName(step.where(done))
+            todo = step.where(~done).drop("end")
+            if not todo.limit(1).count():
+                break
+        if got is None:
+            return d.withColumn("own", F.size("tokens"))
+        cut = F.slice("more", -F.least(F.size("more"), F.lit(n)), n) if before else F.slice("more", 1, n)
+        cut = F.when(F.size("more") > 0, cut).otherwise(F.col("more"))
+        d = d.join(got.select("shard", "doc_id", cut.alias("more")), ["shard", "doc_id"]).withColumn("own", F.size("tokens"))
+        return d.withColumn("tokens", F.concat("more", "tokens") if before else F.concat("tokens", "more")).drop("more")
 
     def head(self, max_docs: int | None = None, max_tokens: int | None = None) -> Corpus:
         """The first documents by doc_ix whose tokens, separators included, stay within max_tokens."""

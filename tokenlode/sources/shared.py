@@ -5,7 +5,8 @@ from __future__ import annotations
 import tempfile
 import uuid
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import functions as F
 
 
 def shared_dir(spark: SparkSession) -> str:
@@ -24,3 +25,19 @@ def written(df: DataFrame, label: str) -> DataFrame:
     path = f"{shared_dir(df.sparkSession)}/{label}-{uuid.uuid4().hex}"
     df.write.parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
+def running(df: DataFrame, by: list[str], order: list, *values: str) -> DataFrame:
+    """df with upto_<value> for each of values: its sum over the rows of the same `by` up to and with this one, in an order that has no ties.
+
+    Rows are range-partitioned by `by` and order, summed within their partition, and what the partitions before
+    hold, a row for each, is added: no task has all rows of a `by`.
+    """
+    keys = [F.col(c) for c in by] + [F.col(c) if isinstance(c, str) else c for c in order]
+    d = written(df.repartitionByRange(*keys).withColumn("part__", F.spark_partition_id()), "ranges")
+    parts = Window.partitionBy(*by).orderBy("part__")
+    before = d.groupBy(*by, "part__").agg(*[F.sum(v).alias(v) for v in values])
+    before = before.select(*by, "part__", *[(F.sum(v).over(parts) - F.col(v)).alias(f"before_{v}") for v in values])
+    local = Window.partitionBy(*by, "part__").orderBy(*keys[len(by):]).rowsBetween(Window.unboundedPreceding, 0)
+    d = d.join(before, [*by, "part__"])
+    return d.withColumns({f"upto_{v}": F.sum(v).over(local) + F.col(f"before_{v}") for v in values}).drop("part__", *[f"before_{v}" for v in values])
