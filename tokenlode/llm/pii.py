@@ -7,8 +7,8 @@ that passes the same check, a date a date, and a value becomes the
 same pseudonym wherever it occurs, in whatever case; without the key it can't
 be turned back. With the key `reveal` does.
 
-Kinds: card and account numbers of 13 to 19 digits (those that pass Luhn's
-check stay such, the others stay others), phone numbers (country code kept),
+Kinds: card and account numbers of 13 to 19 digits that pass Luhn's check, and so do
+their pseudonyms (other numbers are no such ones and stay), phone numbers (country code kept),
 social security numbers (valid ranges), IBANs (check digits made anew), IPv4
 addresses, dates from 1900 to 2099 (in their notation), e-mail addresses
 (letters and digits of all but the top two labels) and hexadecimal
@@ -42,10 +42,10 @@ FOUND = re.compile(
     r"|(?P<secret>(?<![0-9A-Za-z])(?:[0-9a-f]{32,}|[0-9A-F]{32,})(?![0-9A-Za-z]))"
     r"|(?P<iban>(?<![0-9A-Za-z])[A-Z]{2}\d{2}(?: ?[A-Z0-9]{4}){2,7}(?: ?[A-Z0-9]{1,3})?(?![0-9A-Za-z]))"
     r"|(?P<ip>(?<![\w.])(?:\d{1,3}\.){3}\d{1,3}(?![\w]|\.\d))"
-    r"|(?P<date>(?<![\w/.-])(?:\d{4}([-/.])\d{1,2}\6\d{1,2}|\d{1,2}([-/.])\d{1,2}\7\d{4})(?![\w/-]|\.\d))"
+    r"|(?P<date>(?<![\w/.-])(?:\d{4}([-/.])\d{1,2}\6\d{1,2}|\d{1,2}([-/.])\d{1,2}\7\d{4})(?!(?!T\d)[\w/-]|\.\d))"
     r"|(?P<ssn>(?<![\w-])\d{3}-\d{2}-\d{4}(?![\w-]))"
     r"|(?P<phone>(?<![\w+])(?:\+1[ .-]?(?:\(\d{3}\)|\d{3})[ .-]?\d{3}[ .-]?\d{4}|\+(?!1[ .-]?\(?\d{3}\)?[ .-])\d{1,3}[ .-]?(?:\(\d{1,4}\)|\d{1,4})(?:[ .-]?\d{2,4}){2,4}|\(\d{3}\) ?\d{3}[ .-]\d{4}|\d{3}[.-]\d{3}[.-]\d{4})(?![\w]|[.-]\d))"
-    r"|(?P<card>(?<![\w.+-])\d(?:[ -]?\d){12,18}(?![\w]|[.-]\d))"
+    r"|(?P<card>(?<![\w.+-])\d(?:[ -]?\d){12,}(?![\w]|[.-]\d))"
 )
 #: A text without this has nothing to find.
 MAYBE = re.compile(r"[0-9@]|[A-Fa-f]{32}")
@@ -123,14 +123,31 @@ def _mixed(c: Cipher, tweak: str, s: str, back: bool) -> str:
     return "".join(reversed(out))
 
 
+#: Digits of the groups that a number is written in, if it isn't written in one.
+SHAPES = ((4, 4, 4, 4), (4, 6, 5), (4, 6, 4))
+
+
+def _numbers(s: str) -> list[tuple[int, int]]:
+    """Where numbers stand in digits parted by spaces and hyphens. Only the lengths of groups decide, so that it is the same for pseudonyms."""
+    groups, out, k = [m.span() for m in re.finditer(r"\d+", s)], [], 0
+    while k < len(groups):
+        n = next((len(x) for x in SHAPES if tuple(b - a for a, b in groups[k : k + len(x)]) == x), int(13 <= groups[k][1] - groups[k][0] <= 19))
+        if n:
+            out.append((groups[k][0], groups[k + n - 1][1]))
+        k += n or 1
+    return out or [(0, len(s))] * (13 <= sum(b - a for a, b in groups) <= 19)
+
+
 def _card(c: Cipher, s: str, back: bool) -> str | None:
-    d = re.sub(r"\D", "", s)
-    n = len(d) - 1
-    body = f"{c.permute('card', int(d[:-1]), 10**n, back):0{n}d}"
-    gap = (int(d[-1]) - int(_luhn_digit(d[:-1]))) % 10
-    if gap:
-        gap = 1 + c.permute(f"card-{n}", gap - 1, 9, back)
-    return _fill(s, body + str((int(_luhn_digit(body)) + gap) % 10), DIGITS)
+    out, at = [], 0
+    for a, b in _numbers(s):
+        d = re.sub(r"\D", "", s[a:b])
+        if luhn(d):
+            n = len(d) - 1
+            body = f"{c.permute('card', int(d[:-1]), 10**n, back):0{n}d}"
+            out += [s[at:a], _fill(s[a:b], body + _luhn_digit(body), DIGITS)]
+            at = b
+    return "".join(out) + s[at:] if out else None
 
 
 def _phone(c: Cipher, s: str, back: bool) -> str | None:
@@ -246,7 +263,8 @@ def pseudonymise(docs: DataFrame, key: str = KEY, text_col: str = "text") -> Dat
 
     A null text stays null with a null map; an empty one, or one with nothing
     to find, stays as it is, byte for byte, with an empty map. What looks like
-    a kind but isn't valid stays (an address octet over 255, a 31 April).
+    a kind but isn't valid stays (an address octet over 255, a 31 April, a number that fails its check).
+    An empty table gives an empty one.
     Texts of any length are searched whole. Repeated rows stay repeated; a column of docs
     already named pii gets an underscore in front.
     """
