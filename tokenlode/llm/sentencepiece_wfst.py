@@ -209,10 +209,18 @@ class Transducer:
                 self.paths.clear()
                 new = {w for ws in cut[i:j] for w in ws}
             self.encode_words(list(new))
-            out += [b"".join(map(self.paths.__getitem__, ws)) for ws in cut[i:j]]
+            out += [self._joined(b"".join(map(self.paths.__getitem__, ws))) for ws in cut[i:j]]
             i = j
         return out
 
+    def _joined(self, path: bytes) -> bytes:
+        """Without byte fallback a run of unknown characters is one unknown piece."""
+        if self.bytewise:
+            return path
+        ids = np.frombuffer(path, "<i4")
+        twice = (ids[1:] == self.unk) & (ids[:-1] == self.unk)
+        return np.delete(ids, np.flatnonzero(twice) + 1).tobytes() if twice.any() else path
+
     def decode(self, ids: np.ndarray) -> str:
         """The text of ids; bytes that are no UTF-8 become U+FFFD, ids without a piece nothing."""
         n, s = len(self.surface), self.surface
