@@ -55,6 +55,7 @@ def select(rows: DataFrame, shares: dict[str, float] | None, total: int | None,
         for s, w in shares.items():
             share = F.when(F.col("source") == s, F.lit(float(w))).otherwise(share)
         sums = sums.withColumn("share", share)
+    free = sums.where("held = 0 AND share > 0").select("source", F.lit(-1).alias("end"), F.lit(0).cast("bigint").alias("left"), F.lit(1).alias("epochs"))
     sums = sums.where("held > 0")
     all_ = sums.agg(F.sum("share").alias("shares"), F.sum("held").alias("all"))
     budget = F.floor((F.lit(total) if total is not None else F.col("all")) * F.col("share") / F.col("shares")).cast("bigint")
@@ -65,7 +66,7 @@ def select(rows: DataFrame, shares: dict[str, float] | None, total: int | None,
     ends = cells.withColumn("upto", F.sum("n").over(by_cell)).join(budgets, "source").where("upto > rest")
     ends = ends.groupBy("source").agg(F.min(F.struct("cell", "n", "upto", "rest", "epochs")).alias("e"))
     ends = ends.select("source", F.col("e.cell").alias("end"), (F.col("e.rest") - F.col("e.upto") + F.col("e.n")).alias("left"), F.col("e.epochs").alias("epochs"))
-    ends = materialise(ends, "budgets")  # a row for each source
+    ends = materialise(ends.unionByName(free), "budgets")  # a row for each source
     d = d.join(ends, "source")
     rank = Window.partitionBy("source").orderBy("key", "id", "tie")
     within = d.where("cell = end").withColumn("upto", F.sum("n").over(rank)).withColumn("more", (F.col("upto") <= F.col("left")).cast("int")).drop("upto")
@@ -96,7 +97,8 @@ def mix(docs: DataFrame, labels: DataFrame | None = None, shares: dict[str, floa
 
     Ties in the key go by id, then by a hash of the text. A null source is the
     source ''; a null or empty text has no tokens: it takes no budget, and its
-    place in the order says whether it is in the fraction. A null id is hashed
+    place in the order says whether it is in the fraction. All documents of a source that has no tokens at all are
+    taken once, if its share isn't 0; they don't count for the others' shares. A null id is hashed
     as such. Repeated rows tie and are taken or left together. An empty table,
     a total of 0 or shares of 0 give nothing. A document is taken only whole: a
     source's fraction ends before the first one that doesn't fit. Other columns
@@ -143,4 +145,5 @@ WITH w AS (
 )
 SELECT doc_id, source, n AS n_tokens, (budget // held::BIGINT + CASE WHEN upto <= budget % held::BIGINT THEN 1 ELSE 0 END)::INT AS copies
 FROM b WHERE budget // held::BIGINT + CASE WHEN upto <= budget % held::BIGINT THEN 1 ELSE 0 END > 0
+UNION ALL SELECT doc_id, source, n, 1::INT FROM s WHERE held = 0
 """
