@@ -159,9 +159,18 @@ def shard_paths(spark: SparkSession, path: str, shards: int, seed: int = 0, part
 
     d, f, i = fresh(rows, "dealt__", "file__", "index__")
     sent = rows.withColumns({f: F.col("_metadata.file_path"), i: F.col("_metadata.row_index")}).withColumn(d, dealt(F.col(f), F.col(i)))
-    rank = Window.partitionBy(F.col(d + ".shard")).orderBy(d + ".key", f, i)
-    out = sent.withColumn(f + "place", F.row_number().over(rank) - 1)
-    return out.select(F.col(d + ".shard").alias("shard"), F.col(f + "place").cast("int").alias("place"), *[named(out, c) for c in cols])
+    # a range of (shard, key) a task: what comes before it in its shard is known from the ranges' sizes
+    tasks = max(int(spark.conf.get("spark.sql.shuffle.partitions")), shards)
+    order = [F.col(d + ".shard"), F.col(d + ".key"), F.col(f), F.col(i)]
+    out = scratch(spark, "dealt")
+    sorted_ = sent.repartitionByRange(tasks, *order).sortWithinPartitions(*order)
+    sorted_.withColumns({f + "part": F.spark_partition_id(), f + "at": F.monotonically_increasing_id().bitwiseAND(F.lit((1 << 33) - 1))}).write.parquet(out)
+    out = spark.read.parquet(out)
+    held = out.groupBy(F.col(d + ".shard").alias("s"), F.col(f + "part").alias("p")).agg(F.min(f + "at").alias("least"), F.count("*").alias("n"))
+    # a row for each range, and one more for each shard
+    before = held.withColumn("before", F.sum("n").over(Window.partitionBy("s").orderBy("p")) - F.col("n") - F.col("least")).select(F.struct("s", "p").alias(f + "in"), F.col("before").alias(f + "before"))
+    out = out.withColumn(f + "in", F.struct(F.col(d + ".shard").alias("s"), F.col(f + "part").alias("p"))).join(before, f + "in")
+    return out.select(F.col(d + ".shard").alias("shard"), (F.col(f + "at") + F.col(f + "before")).cast("int").alias("place"), *[named(out, c) for c in cols])
 
 
 def shard(df: DataFrame, shards: int, seed: int = 0, part: int = PART) -> DataFrame:
