@@ -9,7 +9,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..sources.shared import shared_dir
+from ..sources.shared import cleaned, shared_dir
 
 #: Bits of `bloom`; beyond some tens of millions of values it lets more pass, which costs time but changes no result.
 BITS = 1 << 26
@@ -56,7 +56,8 @@ class Tables:
     def written(self, df: DataFrame, label: str) -> DataFrame:
         """As `materialise`."""
         path = scratch(self.spark, label)
-        df.write.parquet(path)
+        with cleaned(self.spark):
+            df.write.parquet(path)
         out = self.spark.read.schema(df.schema).parquet(path)
         self.paths.append((out, path))
         return out
@@ -100,7 +101,8 @@ def bloom(values: DataFrame) -> Bloom:
     """Of a table of one column. Executors set the bits; the driver gets words that aren't 0, 16 MB at most."""
     spark = values.sparkSession
     p = values.select(F.explode(F.array(*Bloom.places(F.col(values.columns[0])))).alias("p"))
-    w = p.groupBy(F.shiftright("p", 6).alias("w")).agg(F.bit_or(F.expr("shiftleft(1L, p & 63)")).alias("b")).toArrow()
+    with cleaned(spark):
+        w = p.groupBy(F.shiftright("p", 6).alias("w")).agg(F.bit_or(F.expr("shiftleft(1L, p & 63)")).alias("b")).toArrow()
     bits = np.zeros(BITS >> 6, np.uint64)
     bits[w["w"].to_numpy()] = w["b"].to_numpy().view(np.uint64)
     return Bloom(spark, bits)
@@ -110,7 +112,8 @@ def materialise(df: DataFrame, label: str) -> DataFrame:
     """Write a table to the shared folder and read it: cuts the lineage, and
     what was computed survives the loss of any executor."""
     spark, path = df.sparkSession, scratch(df.sparkSession, label)
-    df.write.parquet(path)
+    with cleaned(spark):
+        df.write.parquet(path)
     return spark.read.schema(df.schema).parquet(path)
 
 
