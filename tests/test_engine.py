@@ -1,13 +1,15 @@
 """Answers on a corpus of nine tokens, and random corpora against brute force."""
 
+import io
 import random
 
 import numpy as np
 import pytest
 
-from tokenlode.engine import GramEngine
-from tokenlode.operators import distribution, match, overlap, stats
-from tokenlode.sources.corpus import Corpus
+from tokenlode import cli
+from tokenlode.engine import EngineDiff, GramEngine
+from tokenlode.operators import cnf, distribution, match, overlap, stats
+from tokenlode.sources.corpus import Corpus, catalog
 
 S = 65535
 
@@ -23,6 +25,38 @@ def test_count(engine, ids, n):
     assert engine.count(ids) == {"count": n, "approx": False}
 
 
+@pytest.mark.parametrize("ids, at", [([20, 30], (1, 3)), ([30], (3, 5)), ([50], (6, 7)), ([99], (7, 7)), ([], (0, 9)), ([30, 60], (5, 5)), ([40, S], (5, 6))])
+def test_segments(engine, ids, at):
+    assert engine.find(ids) == {"cnt": at[1] - at[0], "segment_by_shard": [at]}
+
+
+def test_hint(engine):
+    assert engine.find_with_hint([20, 30, 40], [(1, 3)]) == {"cnt": 1, "segment_by_shard": [(1, 2)]}
+    assert engine.find_with_hint([20, 30, 40], [(2, 3)])["cnt"] == 0
+    assert "error" in engine.find_with_hint([20], [])
+    got = engine.ntd_from_segment(4, [(1, 3)])
+    assert {t: x["cont_cnt"] for t, x in got["result_by_token_id"].items()} == {40: 1, 50: 1}
+    got = engine.ntd_from_segment(2, [(5, 7)])  # behind 40 and 50
+    assert {t: x["cont_cnt"] for t, x in got["result_by_token_id"].items()} == {0: 2}
+
+
+def test_shards(engine):
+    assert (engine.num_shards(), engine.tok_cnt(0), engine.ds_size(0), engine.total_tok_cnt(), engine.total_doc_cnt()) == (1, 9, 18, 9, 2)
+    assert engine.compute_unigram_counts(0) == {10: 1, 20: 2, 30: 2, 40: 1, 50: 1, S: 2}
+    for f in (engine.tok_cnt, engine.ds_size, engine.compute_unigram_counts):
+        with pytest.raises(IndexError):
+            f(1)
+
+
+def test_separators(engine):
+    assert engine.primitive_prob([S], 10) == {"prompt_cnt": 2, "cont_cnt": 1, "prob": 0.5}
+    assert engine.primitive_prob([40], S) == {"prompt_cnt": 1, "cont_cnt": 1, "prob": 1.0}
+    assert engine.primitive_prob([50], S) == {"prompt_cnt": 1, "cont_cnt": 0, "prob": 0.0}
+    assert engine.primitive_prob([], S)["cont_cnt"] == 2 and engine.primitive_prob([], 20)["cont_cnt"] == 2
+    assert engine.prob([99, 40, S], 20) == {"prompt_cnt": 1, "cont_cnt": 1, "prob": 1.0, "suffix_len": 2}
+    assert engine.ntd([99, S])["suffix_len"] == 1
+
+
 def test_find(engine):
     assert engine.find([20, 30]) == {"cnt": 2, "segment_by_shard": [(1, 3)]}
     assert engine.find([50])["segment_by_shard"] == [(6, 7)]
@@ -65,6 +99,42 @@ def test_documents(engine):
     assert s["cnt"] == 2 and s["documents"][0]["token_ids"][s["documents"][0]["needle_offset"] :][:2] == [20, 30]
 
 
+def test_documents_by(engine):
+    assert engine.get_doc_by_ptr(0, 14, 1000)["needle_offset"] == 1
+    assert engine.get_docs_by_ptrs2([(0, 4, 1, 1)])[0]["token_ids"] == [10, 20, 30]
+    # ranks 0 and 4 are the first document's first token, and the second's 30
+    assert [d["token_ids"] for d in engine.get_docs_by_ranks([(0, 4), (0, 0)], 2)] == [[20, 30], [10]]
+    assert engine.get_doc_by_rank(0, 4, 1000)["token_ids"] == [20, 30, 50]
+    assert [d["token_ids"] for d in engine.get_docs_by_ranks2([(0, 1, 1, 1)])] == [[10, 20, 30]]
+    assert [d["doc_ix"] for d in engine.get_docs_by_ixs([1, 0, 1], 1000)] == [1, 0, 1]
+    for f in (lambda: engine.get_doc_by_ix(2, 9), lambda: engine.get_doc_by_ptr(0, 99, 9), lambda: engine.get_doc_by_rank(0, 99, 9)):
+        with pytest.raises(IndexError):
+            f()
+
+
+def test_search_cnf(engine):
+    got = engine.search_docs_cnf([[[20, 30]], [[40], [50]]], maxnum=3, max_diff_tokens=5, seed=2)
+    assert got["cnt"] == 1 and len(got["documents"]) == 3 and not got["approx"]  # the other window grows over a document's end
+    assert engine.search_docs_cnf([[[99]]])["documents"] == []
+
+
+def test_saved(spark, engine, tmp_path):
+    engine.save(str(tmp_path / "index"))
+    e = GramEngine.load(spark, str(tmp_path / "index"))
+    assert e.count([20, 30])["count"] == 2 and e.get_doc_by_rank(0, 4, 1000)["token_ids"] == [20, 30, 50]
+    assert e.ntd_from_segment(4, [(1, 3)])["prompt_cnt"] == 2
+
+
+def test_diff(spark):
+    main = Corpus.from_ids(spark, [[[10, 20, 30, 40], [20, 30, 50]]])
+    other = Corpus.from_ids(spark, [[[20, 30, 50], [10]]])
+    d = EngineDiff(main, other)
+    assert [d.compute_longest_prefix_len(x) for x in ([20, 30, 50], [20, 30, 40], [10, 7], [99], [])] == [2, 3, 0, 0, 0]
+    assert d.compute_longest_prefix_len([20, 30, 40], [20]) == 1
+    got = d.get_docs_by_ptrs2_grouped([([(0, 4), (0, 12)], [20, 30], 2, 5), ([(0, 2)], [10], 1, 0)])
+    assert [[(x["blocked"], x["token_ids"]) for x in r] for r in got] == [[(False, [10, 20, 30, 40]), (True, [])], [(True, [])]]
+
+
 def test_overlap(engine):
     assert engine.creativity([10, 20, 30, 50]) == {"rs": [3, 4, 4, 4]}
     assert engine.creativity([77, 30, 40, 20]) == {"rs": [0, 3, 3, 4]}
@@ -77,9 +147,43 @@ def test_overlap(engine):
 
 def test_cursor(engine):
     c = engine.cursor()
-    assert (c.cnt, c.advance(20), c.advance(30), c.num_bytes) == (9, 2, 2, 4)
+    assert c.cnt == 9 and c.advance(20) == {"cnt": 2, "segment_by_shard": [(1, 3)]} and c.advance(30)["cnt"] == 2 and (c.cnt, c.num_bytes) == (2, 4)
+    assert {t: x["cont_cnt"] for t, x in c.ntd()["result_by_token_id"].items()} == {40: 1, 50: 1}
+    assert c.advance_ntd(40)["result_by_token_id"] == {0: {"cont_cnt": 1, "prob": 1.0}} and c.cnt == 1
+    assert c.advance(0)["cnt"] == 1 and c.advance_ntd(20)["result_by_token_id"] == {30: {"cont_cnt": 1, "prob": 1.0}}  # on in the next document
+    assert "error" in c.advance(-1) and c.advance(99)["cnt"] == 0 and c.sample_one(random.Random(1)) is None and c.ntd()["prompt_cnt"] == 0
+    c.reset()
+    assert (c.cnt, c.num_bytes) == (9, 0)
+
+
+def test_cursor_looks_ahead_again(spark):
+    e = GramEngine(Corpus.from_ids(spark, [[list(range(1, 12))]]))
+    c = e.cursor()
+    c.AHEAD = 3
+    assert [c.advance(t)["cnt"] for t in range(1, 12)] == [1] * 11 and list(c.ntd()["result_by_token_id"]) == [0]
+
+
+def test_draft(engine):
     assert engine.generate_draft([99], 3, 1) == []
-    assert engine.generate_draft([10], 3, 1) == [20, 30, 40] or engine.generate_draft([10], 3, 1)[0] == 20
+    drafts = {tuple(engine.generate_draft([10], 3, seed)) for seed in range(6)}
+    assert drafts <= {(20, 30, 40), (20, 30, 50), (20, 30, 0)} and all(d[:2] == (20, 30) for d in drafts)
+    first = [engine.cursor().sample_one(random.Random(k)) for k in range(12)]
+    assert set(first) <= {0, 10, 20, 30, 40, 50} and len(set(first)) > 1
+
+
+def test_cli(engine, capsys, tmp_path, monkeypatch):
+    rng = random.Random(1)
+    assert cli.sample_token({}, 0, 1.0, rng) == 0 and cli.sample_token({5: 0.6, 4: 0.4}, 0, 0, rng) == 5 and cli.sample_token({5: 0.6, 4: 0.4}, 1, 1.0, rng) == 5
+    said = [cli.answer(engine, x) for x in ("ping", "count 1 20", "prob 40 2 20 30", "ntd 10 2 20 30", "quit", "count 2 20", "what", "count 1 x")]
+    assert said[:5] == ["pong", "count 2 0", "prob 2 1 0.5", "ntd 2 0 2", None] and all(x.startswith("error") for x in said[5:])
+    np.array([S, 10, 20, 30, 40, S, 20, 30, 50], "<u2").tofile(tmp_path / "tokenized.0")
+    np.array([0, 10], "<u8").tofile(tmp_path / "offset.0")
+    assert cli.main(["run", "--index", str(tmp_path), "--prompt-ids", "10", "--generate", "2", "--temperature", "0"]) == 0
+    assert capsys.readouterr().out.split("\n")[0] == "10 20 30"
+    monkeypatch.setattr("sys.stdin", io.StringIO("ping\n\ncount 1 30\nquit\nping\n"))
+    assert cli.main(["rpc", "--index", str(tmp_path)]) == 0 and capsys.readouterr().out == "pong\ncount 2 0\n"
+    (tmp_path / "c.json").write_text('{"b": {"s3_url": "u", "tokenizer": {}, "version": 4}}')
+    assert cli.main(["list", str(tmp_path / "c.json")]) == 0 and capsys.readouterr().out == "b\tu\t{}\t4\n"
 
 
 def test_random_against_brute_force(spark):
@@ -111,5 +215,83 @@ def test_folders(spark, tmp_path):
     np.array([S, 10, 20, 30, 40, S, 20, 30, 50], "<u2").tofile(tmp_path / "tokenized.0")
     np.array([0, 10], "<u8").tofile(tmp_path / "offset.0")
     assert [r["tokens"] for r in Corpus.from_folders(spark, str(tmp_path)).docs.orderBy("doc_id").collect()] == [[10, 20, 30, 40], [20, 30, 50]]
+    assert GramEngine(str(tmp_path), spark=spark).count([20, 30]) == {"count": 2, "approx": False}
+    np.zeros(9 * 9, "u1").tofile(tmp_path / "table.0")  # 9 bytes a pointer
+    for bad in (str(tmp_path / "none"), str(tmp_path)):
+        with pytest.raises(ValueError):
+            Corpus.from_folders(spark, bad)
+
+
+def test_catalogue_fields(spark, tmp_path):
+    (tmp_path / "c.json").write_text('{"b": {"s3_url": "u"}}')
     with pytest.raises(ValueError):
-        Corpus.from_folders(spark, str(tmp_path / "none"))
+        catalog(spark, str(tmp_path / "c.json"))
+
+
+def test_saved_corpus(spark, tmp_path):
+    c = Corpus.from_ids(spark, [[[1, 2]], [[3]]], metadata=[["m"], ["n"]])
+    c.save(str(tmp_path / "c"))
+    got = Corpus.from_parquet(spark, str(tmp_path / "c"), c.sep, c.eos, c.width).docs.orderBy("doc_id").collect()
+    assert [(r["shard"], r["tokens"], r["metadata"]) for r in got] == [(0, [1, 2], "m"), (1, [3], "n")]
+
+
+def test_stream_and_layout(spark):
+    r = random.Random(5)
+    shards = [[[r.randrange(1, 9) for _ in range(r.randrange(0, 4))] for _ in range(15)] for _ in range(2)]
+    c = Corpus.from_ids(spark, shards)
+    lay = {x["doc_id"]: x for x in c.layout().collect()}
+    for s, docs in enumerate(shards):
+        stream, at = [t for d in docs for t in [S, *d]], 0
+        for k, d in enumerate(docs):
+            x = lay[15 * s + k]
+            assert (x["doc_ix"], x["doc_start"], x["doc_len"]) == (15 * s + k, at, len(d))
+            at += len(d) + 1
+        for before in (False, True):
+            for x in c.stream(5, before).where(f"shard = {s}").collect():
+                a = lay[x["doc_id"]]["doc_start"]
+                e = a + x["own"]
+                assert x["tokens"] == (stream[max(0, a - 5) : e] if before else stream[a : e + 5])
+
+
+def test_many_queries_in_parts(spark, monkeypatch):
+    r = random.Random(7)
+    docs = [[r.randrange(1, 6) for _ in range(60)] for _ in range(4)]
+    c = Corpus.from_ids(spark, [docs])
+    grams = [[r.randrange(1, 6) for _ in range(r.randrange(1, 4))] for _ in range(30)]
+    q = spark.createDataFrame(list(enumerate(grams)), "qid long, ids array<bigint>")
+    monkeypatch.setattr(match, "AT_ONCE", 7)
+    want = {k: sum(d[i : i + len(g)] == g for d in docs for i in range(len(d))) for k, g in enumerate(grams)}
+    assert {x["qid"]: x["count"] for x in match.count(c, q).collect()} == want
+    got = {(x["qid"], x["l"], x["n"]): x["cnt"] for x in match.text_counts(c, q).collect()}
+    subs = lambda g: sum(d[i : i + len(g)] == g for d in docs for i in range(len(d)))
+    assert got == {(k, l, n): subs(g[l : l + n]) for k, g in enumerate(grams) for l in range(len(g)) for n in range(1, len(g) - l + 1) if subs(g[l : l + n])}
+
+
+def test_long_matches(spark):
+    """Longer than one scan reaches."""
+    text = [k % 97 + 1 for k in range(700)]
+    c = Corpus.from_ids(spark, [[text, text[:100] + [500]]])
+    q = spark.createDataFrame([(0, text[:600]), (1, text[:80] + [600])], "qid long, ids array<bigint>")
+    got = {(x["qid"], x["l"]): x["n"] for x in overlap.longest(c, q).where("l IN (0, 50)").collect()}
+    assert got == {(0, 0): 600, (0, 50): 550, (1, 0): 80, (1, 50): 30}
+    cnt = {(x["n"]): x["cnt"] for x in match.text_counts(c, q).where("qid = 0 AND l = 0").collect()}
+    assert len(cnt) == 600 and all(cnt[n] == sum(d[i : i + n] == text[:n] for d in (text, text[:100] + [500]) for i in range(len(d))) for n in (1, 2, 63, 64, 65, 100, 101, 512, 513, 600))
+
+
+def test_words_and_delimiters(spark):
+    c = Corpus.from_ids(spark, [[[1, 2, 3, 4, 5, 6]]])
+    q = spark.createDataFrame([(0, [1, 2, 3, 4, 9])], "qid long, ids array<bigint>")
+    n = lambda **k: [x["n"] for x in overlap.longest(c, q, **k).orderBy("l").collect()]
+    assert n() == [4, 3, 2, 1, 0] and n(delims=[2]) == [2, 1, 2, 1, 0] and n(bow=[3]) == [2, 1, 0, 0, 0] and n(bow=[9]) == [4, 3, 2, 1, 0]
+
+
+def test_cnf_cap_and_dedupe(spark):
+    docs = [[[1, 2] * 20 for _ in range(3)]]
+    c = Corpus.from_ids(spark, docs)
+    one = spark.createDataFrame([(0, 0, 0, [1]), (0, 0, 1, [1, 2])], "qid long, clause int, term int, ids array<bigint>")
+    assert cnf.terms(c, one).count() == 120 and cnf.terms(c, one, dedupe=True).count() == 60
+    got = cnf.terms(c, one, max_clause_freq=30)
+    rows = got.collect()
+    assert len(rows) == 30 and {r["factor"] for r in rows} == {4.0}
+    r = cnf.count_cnf(c, one, 3, 30).first()
+    assert (r["count"], r["approx"]) == (120, True)

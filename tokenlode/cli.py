@@ -13,7 +13,9 @@ from .sources.corpus import Corpus, catalog
 
 
 def sample_token(dist: dict[int, float], topk: int, temperature: float, rng: random.Random) -> int:
-    """One of the topk most probable (0: of all), weighted by p^(1/T); the most probable at T <= 0."""
+    """One of the topk most probable (0: of all), weighted by p^(1/T); the most probable at T <= 0, 0 of none."""
+    if not dist:
+        return 0
     order = sorted(dist.items(), key=lambda x: (-x[1], x[0]))[: topk or None]
     return order[0][0] if temperature <= 0 else rng.choices([t for t, _ in order], [p ** (1 / temperature) for _, p in order])[0]
 
@@ -35,7 +37,7 @@ def answer(engine: GramEngine, line: str) -> str | None:
             return "error " + got["error"]
         if op == "count":
             return f"count {got['count']} {int(got['approx'])}"
-        return f"prob {got['prompt_cnt']} {got['prob']} {got['cont_cnt']}" if op == "prob" else f"ntd {got['prompt_cnt']} {int(got['approx'])} {len(got['result_by_token_id'])}"
+        return f"prob {got['prompt_cnt']} {got['cont_cnt']} {got['prob']}" if op == "prob" else f"ntd {got['prompt_cnt']} {int(got['approx'])} {len(got['result_by_token_id'])}"
     except (ValueError, IndexError):
         return "error what is asked isn't understood"
 
@@ -64,6 +66,8 @@ def main(argv: list[str] | None = None) -> int:
     e = GramEngine(Corpus.from_folders(spark, a.index, a.dtype, a.eos))
     if a.cmd == "rpc":
         for line in sys.stdin:
+            if not line.strip():
+                continue
             out = answer(e, line)
             if out is None:
                 break

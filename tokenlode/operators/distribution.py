@@ -28,6 +28,14 @@ def ntd(corpus: Corpus, prompts: DataFrame, sep: bool = False) -> DataFrame:
     return shares(some.unionByName(prompts.where(F.size("ids") == 0).select("qid").crossJoin(_every(corpus))), "qid")  # the result has each token for each
 
 
+def behind(corpus: Corpus, at: DataFrame, n: int) -> DataFrame:
+    """`ntd` of positions: at(qid, shard, doc_id, pos), pos -1 at a separator, and the tokens n behind them. A separator there is eos, so is the end of the shard."""
+    d = corpus.stream(n + 1).join(at, ["shard", "doc_id"]).where((F.col("pos") >= -1) & (F.col("pos") + 1 < F.col("own")))
+    t = F.coalesce(F.get("tokens", (F.col("pos") + 1 + n).cast("int")), F.lit(corpus.eos))
+    t = F.when(t == F.lit(corpus.sep), F.lit(corpus.eos)).otherwise(t)
+    return shares(d.groupBy("qid", t.alias("token")).agg(F.count("*").alias("cont_cnt")), "qid")
+
+
 def _every(corpus: Corpus) -> DataFrame:
     """(token, cont_cnt) over all positions."""
     kind = corpus.docs.schema["tokens"].dataType.elementType

@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from ..functions.tokens import byte_order, count_bucket
 from ..sources.corpus import Corpus
 from ..sources.shared import running, written
-from .match import windows
+from .match import count, find, windows
 
 
 def shard_stats(corpus: Corpus) -> DataFrame:
@@ -82,13 +82,25 @@ def suffixes(corpus: Corpus, first: int = 8) -> DataFrame:
 
 def segments(corpus: Corpus, queries: DataFrame, table: DataFrame | None = None) -> DataFrame:
     """(qid, shard, start, end) of queries in the suffix order; what doesn't occur has no row."""
-    from .match import find
-
     table = suffixes(corpus) if table is None else table
     got = find(corpus, queries, sep=True).join(table, ["shard", "doc_id", "pos"])
     return got.groupBy("qid", "shard").agg(F.min("rank").alias("start"), (F.max("rank") + 1).alias("end"))
 
 
+def segment(corpus: Corpus, ids: list) -> DataFrame:
+    """(shard, start, end) of one query in the suffix order, also where it doesn't occur: start is how many suffixes come before it. One scan, no sort."""
+    whole = corpus.stream(len(ids)) if len(ids) else corpus.docs.withColumn("tokens", F.concat(F.array(F.lit(corpus.sep)), "tokens"))
+    if isinstance(corpus.sep, str):
+        key = lambda t: F.when(t == F.lit(corpus.sep), F.lit("\U0010ffff")).otherwise(t)
+        want = F.array(*[key(F.lit(t)) for t in ids]).cast("array<string>")
+    else:
+        key = lambda t: byte_order(t, corpus.width)
+        want = F.array(*[key(F.lit(t)) for t in ids]).cast("array<bigint>")
+    w = windows(whole.withColumn("tokens", F.transform("tokens", key)), len(ids)).withColumn("want", want)
+    got = w.groupBy("shard").agg(F.count_if(F.col("w") < F.col("want")).alias("start"), F.count_if(F.col("w") == F.col("want")).alias("n"))
+    return got.select("shard", "start", (F.col("start") + F.col("n")).alias("end"))
+
+
 LENGTHS = (1, 2, 3, 4, 5, 6, 8, 10, 12, 16)
 
 
@@ -107,8 +119,6 @@ def query_suite(corpus: Corpus, per_bucket: int = 20, lengths: tuple[int, ...] =
 
 def mismatches(left: Corpus, right: Corpus, queries: DataFrame) -> DataFrame:
     """Queries whose counts differ between two corpora: (qid, left_cnt, right_cnt)."""
-    from .match import count
-
     a, b = count(left, queries), count(right, queries)
     both = a.select("qid", F.col("count").alias("left_cnt")).join(b.select("qid", F.col("count").alias("right_cnt")), "qid")
     return both.where("left_cnt <> right_cnt")

@@ -61,6 +61,7 @@ class Corpus:
         return cls(docs.select("shard", "doc_id", "tokens", "metadata"), sep, eos, width)
 
     def save(self, path: str) -> None:
+        """A folder that `from_parquet` reads, by shard."""
         self.docs.write.partitionBy("shard").parquet(path)
 
     @classmethod
@@ -92,6 +93,10 @@ class Corpus:
                 tok, off = kinds["tokenized"][i], kinds["offset"][i]
                 if tok.stat().st_size % width or off.stat().st_size % 8:
                     raise ValueError(f"{d}: a size isn't a multiple of its width")
+                if kinds["table"]:  # a pointer of 1 to 8 bytes for each token
+                    size, tokens = kinds["table"][i].stat().st_size, tok.stat().st_size // width
+                    if (size % tokens or not 1 <= size // tokens <= 8) if tokens else size:
+                        raise ValueError(f"{d}: the suffix table doesn't fit the tokens")
                 docs = off.stat().st_size // 8
                 meta = (str(kinds["metadata"][i]), str(kinds["metaoff"][i])) if kinds["metadata"] else ("", "")
                 if meta[1] and Path(meta[1]).stat().st_size != off.stat().st_size:
