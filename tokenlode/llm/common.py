@@ -5,7 +5,6 @@ from __future__ import annotations
 import uuid
 
 import numpy as np
-import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -78,29 +77,28 @@ class Bloom:
 
     @staticmethod
     def places(value: Column) -> list[Column]:
-        return [F.pmod(F.xxhash64(F.lit(k), value), F.lit(BITS)).cast("int").alias(f"p{k}") for k in range(2)]
+        """Two parts of the value's 64-bit hash."""
+        h = F.xxhash64(value)
+        return [p.bitwiseAND(F.lit(BITS - 1)).cast("int").alias(f"p{k}") for k, p in enumerate((h, F.shiftrightunsigned(h, 32)))]
+
+    def has(self, hashes: np.ndarray) -> np.ndarray:
+        """`holds` for hashes made elsewhere."""
+        h = hashes.view(np.uint64)
+        return self.holds(h & np.uint64(BITS - 1), h >> np.uint64(32) & np.uint64(BITS - 1))
 
     def holds(self, *places) -> np.ndarray:
         out = True
-        for p in map(np.asarray, places):
+        for p in (np.asarray(x).astype(np.int64) for x in places):
             out = out & (self.bits.value[p >> 6] >> (p & 63).astype(np.uint64) & np.uint64(1)).astype(bool)
         return out
 
 
-    def test(self, value: Column) -> Column:
-        """`holds` as a column: values that surely aren't in the set are false. Nulls are values too."""
-
-        @F.pandas_udf("boolean")
-        def run(a: pd.Series, b: pd.Series) -> pd.Series:
-            return pd.Series(self.holds(a, b))
-
-        return run(*Bloom.places(value))
-
-
-def bloom(values: DataFrame) -> Bloom:
-    """Of a table of one column. Executors set the bits; the driver gets words that aren't 0, 16 MB at most."""
+def bloom(values: DataFrame, hashed: bool = False) -> Bloom:
+    """Of a table of one column, or of 64-bit hashes of values. Executors set the bits; the driver gets words that aren't 0, 16 MB at most."""
     spark = values.sparkSession
-    p = values.select(F.explode(F.array(*Bloom.places(F.col(values.columns[0])))).alias("p"))
+    v = F.col(values.columns[0])
+    two = [x.bitwiseAND(F.lit(BITS - 1)).cast("int") for x in (v, F.shiftrightunsigned(v, 32))] if hashed else Bloom.places(v)
+    p = values.select(F.explode(F.array(*two)).alias("p"))
     with cleaned(spark):
         w = p.groupBy(F.shiftright("p", 6).alias("w")).agg(F.bit_or(F.expr("shiftleft(1L, p & 63)")).alias("b")).toArrow()
     bits = np.zeros(BITS >> 6, np.uint64)

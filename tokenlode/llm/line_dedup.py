@@ -13,13 +13,20 @@ as few as two different texts, it stays in the first of them and is dropped
 from the others.
 
 Leaves that too few documents reach are left out by counting their hashes,
-which loses nothing: no template within can recur. Lines of other leaves pass a
-bit set of fixed size, so few tokens of ordinary prose are exchanged, and
-those of them that are don't reach the count again.
+which loses nothing: no template within can recur. Lines of the other leaves pass a
+bit set of fixed size, and only their tokens are exchanged; the few of too small leaves that pass as well
+go when the leaves themselves are counted.
 """
 
 from __future__ import annotations
 
+import hashlib
+import re
+from collections.abc import Iterator
+
+import numpy as np
+import pyarrow as pa
+import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -29,16 +36,41 @@ from .common import bloom, materialise, named
 DEPTH, MIN_DOCS, CONSTANT = 3, 8, 0.6
 #: Tokens of a line that recurs from two texts on.
 LONG = 20
-VAR, TOKEN = "<*>", "[^ \\t\\r]+"
+VAR, DIGIT = "<*>", re.compile("[0-9]")
+
+
+def tokens(line: str) -> list[str]:
+    return [t for t in line.replace("\t", " ").replace("\r", " ").split(" ") if t]
+
+
+def leaf(of: list[str], depth: int) -> str:
+    """The path of a line's tokens through the tree."""
+    return " ".join([str(len(of)), *[VAR if DIGIT.search(t) else t for t in of[:depth]]])
+
+
+def _texts(docs: DataFrame) -> DataFrame:
+    d = docs.select(named(docs, "doc_id").cast("bigint").alias("id"), named(docs, "text").cast("string").alias("text")).where("text IS NOT NULL")
+    return d.select("id", F.unhex(F.md5("text")).alias("hash"), "text")
+
+
+def lines(docs: DataFrame, depth: int = DEPTH, long: int = LONG) -> DataFrame:
+    """(id, hash, no, leaf, line) of each line that has tokens: 64 bits of its leaf and, if it is long, 128 of its tokens."""
 
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            at, no, leaves, whole = [], [], [], []
+            for k, text in enumerate(b.column(2).to_pylist()):
+                for n, line in enumerate(text.split("\n")):
+                    if t := tokens(line):
+                        at.append(k)
+                        no.append(n)
+                        leaves.append(xxhash.xxh64_intdigest(leaf(t, depth).encode("utf-8", "surrogatepass"), 42))
+                        whole.append(hashlib.md5(" ".join(t).encode("utf-8", "surrogatepass")).digest() if len(t) >= long else None)
+            at = pa.array(at, pa.int64())
+            cols = [b.column(0).take(at), b.column(1).take(at), pa.array(no, pa.int32()), pa.array(np.array(leaves, np.uint64).view(np.int64)), pa.array(whole, pa.binary())]
+            yield pa.RecordBatch.from_arrays(cols, ["id", "hash", "no", "leaf", "line"])
 
-def lines(docs: DataFrame, depth: int = DEPTH) -> DataFrame:
-    """(id, hash, no, line, n, leaf) of each line that has tokens, n of them."""
-    d = docs.select(named(docs, "doc_id").alias("id"), named(docs, "text").alias("text")).where("text IS NOT NULL")
-    d = d.select("id", F.unhex(F.md5("text")).alias("hash"), F.posexplode(F.split("text", "\n")).alias("no", "line"))
-    d = d.withColumn("n", F.regexp_count("line", F.lit(TOKEN))).where("n > 0")
-    head = F.slice(F.filter(F.split(F.ltrim("line", F.lit(" \t\r")), "[ \\t\\r]+", depth + 1), lambda t: t != ""), 1, depth)
-    return d.withColumn("leaf", F.concat_ws(" ", F.col("n").cast("string"), F.array_join(F.transform(head, lambda t: F.when(t.rlike("[0-9]"), VAR).otherwise(t)), " ")))
+    return _texts(docs).mapInArrow(run, "id long, hash binary, no int, leaf long, line binary")
 
 
 def often(rows: DataFrame, by: str, of: str, least: int) -> DataFrame:
@@ -46,14 +78,34 @@ def often(rows: DataFrame, by: str, of: str, least: int) -> DataFrame:
     return rows.select(by, of).distinct().groupBy(by).agg(F.count("*").alias("n")).where(F.col("n") >= least).select(by)
 
 
-def templates(docs: DataFrame, depth: int = DEPTH, min_docs: int = MIN_DOCS, constant: float = CONSTANT) -> DataFrame:
-    """(id, hash, no, template) of the lines whose template recurs."""
-    all_ = lines(docs, depth).withColumn("h", F.xxhash64("leaf"))
-    maybe = bloom(often(all_.select("h", F.xxhash64("hash").alias("t")), "h", "t", min_docs))
-    s = all_.where(maybe.test(F.col("h"))).select("leaf", "id", "hash", "no", F.regexp_extract_all("line", F.lit(TOKEN), 0).alias("tokens"))
-    s = s.withColumn("tokens", F.transform("tokens", lambda t: F.when(t.rlike("[0-9]"), VAR).otherwise(t)))
-    s = materialise(s, "maybe-live")
-    s = s.join(often(s, "leaf", "hash", min_docs), "leaf")  # a text's copies count once
+def live(docs: DataFrame, known: DataFrame, depth: int = DEPTH, min_docs: int = MIN_DOCS) -> DataFrame:
+    """(leaf, id, hash, no, tokens) of the lines in leaves of enough texts; tokens with a digit are <*>."""
+    maybe = bloom(often(known, "leaf", "hash", min_docs), hashed=True)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            at, no, leaves, of = [], [], [], []
+            for k, text in enumerate(b.column(2).to_pylist()):
+                for n, line in enumerate(text.split("\n")):
+                    if t := tokens(line):
+                        at.append(k)
+                        no.append(n)
+                        leaves.append(leaf(t, depth))
+                        of.append(line)
+            hashes = np.array([xxhash.xxh64_intdigest(x.encode("utf-8", "surrogatepass"), 42) for x in leaves], np.uint64)
+            some = np.flatnonzero(maybe.has(hashes)).tolist() if leaves else []
+            own = pa.array([at[k] for k in some], pa.int64())
+            masked = [[VAR if DIGIT.search(t) else t for t in tokens(of[k])] for k in some]
+            cols = [pa.array([leaves[k] for k in some], pa.string()), b.column(0).take(own), b.column(1).take(own), pa.array([no[k] for k in some], pa.int32()), pa.array(masked, pa.list_(pa.string()))]
+            yield pa.RecordBatch.from_arrays(cols, ["leaf", "id", "hash", "no", "tokens"])
+
+    s = materialise(_texts(docs).mapInArrow(run, "leaf string, id long, hash binary, no int, tokens array<string>"), "maybe-live")
+    return s.join(often(s, "leaf", "hash", min_docs), "leaf")  # a text's copies count once
+
+
+def templates(docs: DataFrame, depth: int = DEPTH, min_docs: int = MIN_DOCS, constant: float = CONSTANT, known: DataFrame | None = None) -> DataFrame:
+    """(id, hash, no, template) of the lines whose template recurs. known: what `lines` gives, if it is at hand."""
+    s = live(docs, lines(docs, depth) if known is None else known, depth, min_docs)
     each = s.select("leaf", "hash", F.posexplode("tokens").alias("at", "token")).where(F.col("token") != VAR).distinct()
     common = each.groupBy("leaf", "at", "token").agg(F.count("*").alias("texts")).where(F.col("texts") >= min_docs)
     common = common.groupBy("leaf", "at").agg(F.collect_list("token").alias("tokens"))
@@ -66,10 +118,9 @@ def templates(docs: DataFrame, depth: int = DEPTH, min_docs: int = MIN_DOCS, con
     return t.join(often(t, "template", "hash", min_docs), "template")
 
 
-def repeats(docs: DataFrame, long: int = LONG) -> DataFrame:
+def repeats(known: DataFrame) -> DataFrame:
     """(id, hash, no) of long lines that another text has as well, but for the first such text, by its least id (null last), then hash."""
-    d = lines(docs).where(F.col("n") >= long)
-    d = materialise(d.select("id", "hash", "no", F.unhex(F.md5(F.array_join(F.regexp_extract_all("line", F.lit(TOKEN), 0), " "))).alias("line")), "long-lines")
+    d = known.where("line IS NOT NULL").select("id", "hash", "no", "line")
     first = d.groupBy("line").agg(F.min(F.struct(F.col("id").isNull().alias("none"), "id", "hash")).alias("f"), F.min("hash").alias("a"), F.max("hash").alias("b"))
     return d.join(first.where("a <> b").select("line", F.col("f.hash").alias("stays")), "line").where("hash <> stays").select("id", "hash", "no")
 
@@ -86,7 +137,8 @@ def line_dedup(docs: DataFrame, depth: int = DEPTH, min_docs: int = MIN_DOCS, co
     lines. Null ids are ids like others, and come last. An empty table gives an empty one.
     Other columns don't matter.
     """
-    gone = templates(docs, depth, min_docs, constant).select("id", "hash", "no").unionByName(repeats(docs, long))
+    known = materialise(lines(docs, depth, long), "lines")
+    gone = templates(docs, depth, min_docs, constant, known).select("id", "hash", "no").unionByName(repeats(known))
     gone = materialise(gone.groupBy("id", "hash").agg(F.collect_set("no").alias("gone")), "gone")
     d = docs.select(named(docs, "doc_id").alias("doc_id"), named(docs, "text").alias("text"))
     both = d.join(gone, d["doc_id"].eqNullSafe(gone["id"]) & (F.unhex(F.md5(d["text"])) == gone["hash"]), "left")
