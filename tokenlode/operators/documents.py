@@ -82,14 +82,15 @@ def first_k(found: DataFrame, k: int) -> DataFrame:
 def random_draws(found: DataFrame, maxnum: int, seed: int) -> DataFrame:
     """maxnum occurrences of each query, drawn with replacement: the row of each draw, with idx, cnt and draw.
 
-    A query's numbers come from its id and the seed.
+    A draw's number is 48 bits of a hash of the seed, the query's id and the draw, modulo the occurrences.
     """
     if maxnum <= 0:
         raise ValueError("maxnum must be > 0")
     n = running(found.withColumn("one__", F.lit(1).cast("bigint")), ["qid"], ["shard", "ptr"], "one__").withColumn("idx", F.col("upto_one__") - 1).drop("one__", "upto_one__")
     cnt = found.groupBy("qid").agg(F.count("*").alias("cnt"))
     draws = cnt.select("qid", "cnt", F.explode(F.sequence(F.lit(0), F.lit(maxnum - 1))).alias("draw"))
-    draws = draws.withColumn("idx", F.pmod(F.xxhash64(F.lit(seed), "qid", "draw"), F.col("cnt")))
+    number = F.conv(F.substring(F.md5(F.concat_ws("|", F.lit(str(seed)), F.col("qid").cast("string"), F.col("draw").cast("string"))), 1, 12), 16, 10).cast("bigint")
+    draws = draws.withColumn("idx", number % F.col("cnt"))
     return draws.join(n, ["qid", "idx"])
 
 

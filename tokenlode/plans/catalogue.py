@@ -14,8 +14,12 @@ from ..operators import cnf, distribution, documents, overlap, stats
 from ..operators.match import count, find, refine, with_pointers
 from ..sources.corpus import Corpus
 
-GRAMS, CNF_D, MAX_DISP, CTX, K, STEPS, MIN_LEN, MAX_CNT, SUPPORT = (1, 2, 3, 5), 10, 20, 8, 3, 5, 5, 1000, 20
+GRAMS, CNF_D, MAX_DISP, CTX, K, STEPS, MIN_LEN, MAX_CNT = (1, 2, 3, 5), 10, 1000, 8, 3, 5, 5, 1000
+#: Low, so that distributions of small tables are sampled as well.
+SUPPORT = 20
 BUDGET_DOCS, BUDGET_TOKENS = 500, 100_000
+#: Tokens that end a match, and such as begin words.
+DELIMS, BOW = ["the", "der", "de", "of", "und", "que"], ["a", "in", "the", "to", "die", "la", "y"]
 
 
 def corpus(spark: SparkSession, d: str) -> Corpus:
@@ -33,9 +37,11 @@ def texts(spark: SparkSession, d: str) -> DataFrame:
 
 
 def grams(spark: SparkSession, d: str, *lengths: int) -> DataFrame:
-    """The first tokens of each passage, of each length; qid is item_id * 10 + length."""
+    """The different n-grams of the passages, of each length and from every position; qid is the least (item_id * 10,000 + position) * 10 + length."""
     t = texts(spark, d).withColumn("n", F.explode(F.array(*[F.lit(n) for n in lengths or GRAMS]))).where("size(ids) >= n")
-    return t.select((F.col("qid") * 10 + F.col("n")).alias("qid"), F.slice("ids", 1, F.col("n")).alias("ids"))
+    t = t.withColumn("l", F.explode(F.sequence(F.lit(0), F.size("ids") - F.col("n"))))
+    t = t.select(((F.col("qid") * 10_000 + F.col("l")) * 10 + F.col("n")).alias("qid"), F.slice("ids", F.col("l") + 1, F.col("n")).alias("ids"))
+    return t.groupBy("ids").agg(F.min("qid").alias("qid")).select("qid", "ids")
 
 
 def prompts(spark: SparkSession, d: str) -> DataFrame:
@@ -45,15 +51,16 @@ def prompts(spark: SparkSession, d: str) -> DataFrame:
 
 
 def gram_prompts(spark: SparkSession, d: str) -> DataFrame:
-    t = grams(spark, d, 2, 3, 4)
+    t = grams(spark, d, 2, 3, 4)  # each continuation is a query of its own
     return t.select("qid", F.slice("ids", 1, F.size("ids") - 1).alias("ids"), F.element_at("ids", -1).alias("cont"))
 
 
-def clauses(spark: SparkSession, d: str) -> DataFrame:
-    """(tokens 1-2 OR tokens 3-4) AND token 6, of each passage that has them."""
-    t = texts(spark, d).where("size(ids) >= 6")
-    each = F.array(*[F.struct(F.lit(c).alias("clause"), F.lit(i).alias("term"), F.slice("ids", a, n).alias("ids")) for c, i, a, n in ((0, 0, 1, 2), (0, 1, 3, 2), (1, 0, 6, 1))])
-    return t.select("qid", F.explode(each).alias("x")).select("qid", "x.*")
+def clauses(spark: SparkSession, d: str, three: bool = False) -> DataFrame:
+    """(tokens 1-2 OR tokens 3-4) AND token 6, and with three AND token 8, of each window of 8 tokens that starts at a passage's token 1, 9, 17 .."""
+    t = texts(spark, d).where("size(ids) >= 8").withColumn("l", F.explode(F.sequence(F.lit(0), F.size("ids") - 8, F.lit(8))))
+    parts = ((0, 0, 1, 2), (0, 1, 3, 2), (1, 0, 6, 1), (2, 0, 8, 1))[: 4 if three else 3]
+    each = F.array(*[F.struct(F.lit(c).alias("clause"), F.lit(i).alias("term"), F.slice("ids", F.col("l") + a, n).alias("ids")) for c, i, a, n in parts])
+    return t.select((F.col("qid") * 10_000 + F.col("l")).alias("qid"), F.explode(each).alias("x")).select("qid", "x.*")
 
 
 def _longs(df: DataFrame) -> DataFrame:
@@ -141,9 +148,10 @@ def _slice_docs(s, d):
 
 
 def _verify(s, d):
-    """Query counts that a corpus and its copy by documents in one shard don't share: none."""
-    one = Corpus.from_texts(s.read.parquet(f"{d}/documents.parquet"), shards=1)
-    return _longs(stats.mismatches(corpus(s, d), one, grams(s, d)))
+    """Counts that a corpus and the same without the documents labelled toxic don't share."""
+    bad = s.read.parquet(f"{d}/labels.parquet").where("toxic = 1").select("doc_id").distinct()
+    rest = Corpus.from_texts(s.read.parquet(f"{d}/documents.parquet").join(bad, "doc_id", "left_anti"), shards=2)
+    return _longs(stats.mismatches(corpus(s, d), rest, grams(s, d)))
 
 
 _Q = {
@@ -166,6 +174,10 @@ _Q = {
     "cnf_strict": _strict,
     "cnf_compat": lambda s, d: _longs(cnf.compat(corpus(s, d), clauses(s, d), CNF_D).select("qid", "shard", "doc_id", "l", "r")),
     "count_cnf": lambda s, d: cnf.count_cnf(corpus(s, d), clauses(s, d), CNF_D),
+    "cnf_strict_three": lambda s, d: _longs(cnf.strict(corpus(s, d), clauses(s, d, True), CNF_D).select("qid", "shard", "doc_id", "p")),
+    "cnf_terms_once": lambda s, d: _longs(cnf.terms(corpus(s, d), clauses(s, d), dedupe=True).select("qid", "clause", "term", "shard", "doc_id", "p")),
+    "longest_delims": lambda s, d: _longs(overlap.longest(corpus(s, d), texts(s, d), delims=DELIMS)),
+    "longest_bow": lambda s, d: _longs(overlap.longest(corpus(s, d), texts(s, d), bow=BOW)),
     "doc_by_ix": lambda s, d: _longs(_line(documents.by_ix(corpus(s, d), None, MAX_DISP).select("doc_ix", "doc_id", "doc_len", "disp_len", "needle_offset", "token_ids"))),
     "doc_by_ptr": _doc_by_ptr,
     "doc_context2": _doc_context2,

@@ -7,7 +7,7 @@ separator has no token.
 
 from __future__ import annotations
 
-from .catalogue import BUDGET_DOCS, BUDGET_TOKENS, CNF_D, CTX, GRAMS, K, MAX_CNT, MAX_DISP, MIN_LEN, STEPS, SUPPORT
+from .catalogue import BOW, BUDGET_DOCS, BUDGET_TOKENS, CNF_D, CTX, DELIMS, GRAMS, K, MAX_CNT, MAX_DISP, MIN_LEN, STEPS, SUPPORT
 
 _WORDS = r"coalesce(regexp_extract_all(lower(text), '[\p{L}\p{N}]+'), [])"
 
@@ -21,9 +21,10 @@ b AS (SELECT item_id::BIGINT AS qid, {_WORDS} AS ids FROM benchmark),
 """
 
 
-def _grams(*lengths: int) -> str:
+def _grams(*lengths: int, name: str = "q") -> str:
     values = ", ".join(f"({n})" for n in lengths or GRAMS)
-    return f"q AS (SELECT qid * 10 + n AS qid, ids[1:n] AS ids FROM b, (VALUES {values}) v(n) WHERE len(ids) >= n),"
+    return f"""{name} AS (SELECT min(qid) AS qid, ids FROM (SELECT (qid * 10000 + l) * 10 + n AS qid, ids[l + 1:l + n] AS ids FROM (
+  SELECT qid, ids, n, unnest(range(len(ids) - n + 1)) AS l FROM b, (VALUES {values}) v(n) WHERE len(ids) >= n)) GROUP BY ids),"""
 
 
 def _ext(of: str = "q", key: str = "qid", tok: str = "tok", name: str = "ext") -> str:
@@ -72,13 +73,18 @@ def _shown(source: str, cols: str, before: str, after: str, order: str = "") ->
 
 
 _HALF = MAX_DISP // 2
-_CNF = """
-c AS (SELECT qid * 10 + x.a AS qid, x.clause AS clause, x.term AS term, ids[x.a:x.a + x.n - 1] AS ids FROM b,
-  (VALUES ({'clause': 0, 'term': 0, 'a': 1, 'n': 2}), ({'clause': 0, 'term': 1, 'a': 3, 'n': 2}), ({'clause': 1, 'term': 0, 'a': 6, 'n': 1})) v(x) WHERE len(ids) >= 6),
+def _cnf(three: bool = False) -> str:
+    third = ", ({'clause': 2, 'term': 0, 'a': 8, 'n': 1})" if three else ""
+    return f"""
+c AS (SELECT (qid * 10000 + l) * 10 + x.a AS qid, x.clause AS clause, x.term AS term, ids[l + x.a:l + x.a + x.n - 1] AS ids FROM (SELECT qid, ids, unnest(range(0, len(ids) - 7, 8)) AS l FROM b WHERE len(ids) >= 8),
+  (VALUES ({{'clause': 0, 'term': 0, 'a': 1, 'n': 2}}), ({{'clause': 0, 'term': 1, 'a': 3, 'n': 2}}), ({{'clause': 1, 'term': 0, 'a': 6, 'n': 1}}){third}) v(x)),
 q AS (SELECT * FROM c),"""
+
+
 _TERMS = """
 m AS (SELECT hit.qid // 10 AS qid, c.clause, c.term, shard, doc_id, doc_start + 1 + pos AS p FROM hit JOIN c USING (qid)),
 """
+_NEAR = f"EXISTS (FROM m x WHERE x.clause = %d AND x.qid = m.qid AND x.shard = m.shard AND x.doc_id = m.doc_id AND x.p BETWEEN m.p - {CNF_D} AND m.p + {CNF_D})"
 _COMPAT = f"""
 n AS (SELECT qid, shard, count(*) FILTER (clause = 0) AS n0, count(*) FILTER (clause = 1) AS n1 FROM m GROUP BY ALL),
 f AS (SELECT m.qid, m.shard, m.doc_id, p FROM m JOIN n USING (qid, shard) WHERE n0 > 0 AND n1 > 0 AND clause = CASE WHEN n0 <= n1 THEN 0 ELSE 1 END),
@@ -113,7 +119,7 @@ SQL = {
     "find_positions": _match(then=f"SELECT qid, shard, doc_id, {_PTR} AS ptr FROM hit"),
     "ngram_count_batch": _match(then="SELECT q.qid, count(hit.qid) AS count, false AS approx FROM q LEFT JOIN hit USING (qid) GROUP BY ALL"),
     "find_by_shard": _match(then="SELECT qid, shard, count(*) AS cnt FROM hit GROUP BY ALL"),
-    "find_with_hint": _match(5, then=f"SELECT qid // 10 AS qid, shard, {_PTR} AS ptr FROM hit"),
+    "find_with_hint": _sql("q AS (SELECT qid, ids[1:5] AS ids FROM b WHERE len(ids) >= 5),", _ext(), _LAYG, _HIT, then=f"SELECT qid, shard, {_PTR} AS ptr FROM hit"),
     "primitive_ntd": _match(more=_NTD, then="SELECT *, round(cont_cnt / prompt_cnt, 6) AS prob FROM nd"),
     "ntd_topk": _match(more=_NTD, then="SELECT *, round(cont_cnt / prompt_cnt, 6) AS prob, row_number() OVER (PARTITION BY qid ORDER BY cont_cnt DESC, token) AS rank FROM nd QUALIFY rank <= 20"),
     "ntd_approx": _match(
@@ -123,7 +129,7 @@ mid AS (SELECT *, least(unit, prompt_cnt - a) AS w, a + least(unit, prompt_cnt -
         then="SELECT un.qid, token, sum(w)::BIGINT AS cont_cnt, un.prompt_cnt, round(sum(w) / un.prompt_cnt, 6) AS prob, un.unit > 1 AS approx FROM un JOIN mid ON un.qid = mid.qid AND m >= e - un.cont_cnt AND m < e GROUP BY un.qid, token, un.prompt_cnt, un.unit",
     ),
     "primitive_prob": _sql(
-        "q0 AS (SELECT qid * 10 + n AS qid, ids[1:n - 1] AS ids, ids[n] AS cont FROM b, (VALUES (2), (3), (4)) v(n) WHERE len(ids) >= n), q AS (SELECT * FROM q0),", _ext(), _LAYG, _HIT,
+        _grams(2, 3, 4, name="q0"), "q AS (SELECT qid, ids[:len(ids) - 1] AS ids, ids[len(ids)] AS cont FROM q0),", _ext(), _LAYG, _HIT,
         then="SELECT q.qid, count(hit.qid) AS prompt_cnt, count(*) FILTER (t.token = q.cont) AS cont_cnt, CASE WHEN count(hit.qid) > 0 THEN round(count(*) FILTER (t.token = q.cont) / count(hit.qid), 6) ELSE -1.0::DOUBLE END AS prob FROM q LEFT JOIN hit USING (qid) LEFT JOIN tok t ON t.g = hit.g + hit.n GROUP BY q.qid",
     ),
     "infgram_prob": _sql(
@@ -138,13 +144,24 @@ UNION ALL SELECT qid, (SELECT sum(n) FROM uni)::BIGINT, coalesce(n, 0)::BIGINT,
     ),
     "cursor_advance": _sql(_ext("b"), then="SELECT k AS qid, n AS step, count(*) AS cnt FROM ext GROUP BY ALL"),
     "greedy_generate": _match(2, more="\n".join(_GREEDY), then=" UNION ALL ".join(f"SELECT qid, {k + 1}::BIGINT AS step, token, cont_cnt FROM s{k}" for k in range(STEPS))),
-    "cnf_strict": _sql(_CNF, _ext(), _LAYG, _HIT, _TERMS, then=f"SELECT qid, shard, doc_id, p FROM m WHERE clause = 0 AND EXISTS (FROM m x WHERE x.clause = 1 AND x.qid = m.qid AND x.shard = m.shard AND x.doc_id = m.doc_id AND x.p BETWEEN m.p - {CNF_D} AND m.p + {CNF_D})"),
-    "cnf_compat": _sql(_CNF, _ext(), _LAYG, _HIT, _TERMS, _COMPAT, then="SELECT * FROM ok"),
-    "count_cnf": _sql(_CNF, _ext(), _LAYG, _HIT, _TERMS, _COMPAT, then="SELECT x.qid, count(ok.qid) AS count, false AS approx FROM (SELECT DISTINCT qid // 10 AS qid FROM c) x LEFT JOIN ok USING (qid) GROUP BY x.qid"),
+    "cnf_strict": _sql(_cnf(), _ext(), _LAYG, _HIT, _TERMS, then=f"SELECT qid, shard, doc_id, p FROM m WHERE clause = 0 AND {_NEAR % 1}"),
+    "cnf_strict_three": _sql(_cnf(True), _ext(), _LAYG, _HIT, _TERMS, then=f"SELECT qid, shard, doc_id, p FROM m WHERE clause = 0 AND {_NEAR % 1} AND {_NEAR % 2}"),
+    "cnf_terms_once": _sql(_cnf(), _ext(), _LAYG, _HIT, _TERMS, then="SELECT qid, clause, min(term)::BIGINT AS term, shard, doc_id, p FROM m GROUP BY qid, clause, shard, doc_id, p"),
+    "longest_delims": _sql(_TAILS, _ext("p"), f"best AS (SELECT k, max(n) AS n FROM ext GROUP BY k), x AS (SELECT qid, ids, coalesce(n, 0) AS n FROM p LEFT JOIN best ON qid = k),",
+        then=f"SELECT qid // 100000 AS qid, qid % 100000 AS l, coalesce(list_min(list_filter(range(1, n), lambda i: ids[i] IN ({', '.join(map(repr, DELIMS))}))), n) AS n FROM x"),
+    "longest_bow": _sql(_TAILS, _ext("p"), f"best AS (SELECT k, max(n) AS n FROM ext GROUP BY k), x AS (SELECT qid, ids, coalesce(n, 0) AS n FROM p LEFT JOIN best ON qid = k),",
+        then=f"SELECT qid // 100000 AS qid, qid % 100000 AS l, coalesce(list_max(list_filter(range(1, n + 1), lambda i: i = len(ids) OR ids[i + 1] IN ({', '.join(map(repr, BOW))}))), 0) AS n FROM x"),
+    "cnf_compat": _sql(_cnf(), _ext(), _LAYG, _HIT, _TERMS, _COMPAT, then="SELECT * FROM ok"),
+    "count_cnf": _sql(_cnf(), _ext(), _LAYG, _HIT, _TERMS, _COMPAT, then="SELECT x.qid, count(ok.qid) AS count, false AS approx FROM (SELECT DISTINCT qid // 10 AS qid FROM c) x LEFT JOIN ok USING (qid) GROUP BY x.qid"),
     "doc_by_ix": _sql("x AS (SELECT 1),", then=f"SELECT doc_ix, doc_id, doc_len, least(doc_len, {MAX_DISP})::BIGINT AS disp_len, 0::BIGINT AS needle_offset, array_to_string(t[1:{MAX_DISP}], ' ') AS tokens FROM lay"),
     "doc_by_ptr": _match(5, then=_shown("hit", f"qid, shard, {_PTR} AS ptr", str(_HALF), str(MAX_DISP - _HALF))),
     "doc_context2": _match(5, then=_shown("hit", f"qid, shard, {_PTR} AS ptr", str(CTX), f"n + {CTX}")),
     "search_docs_first_k": _match(then=_shown(f"(SELECT *, row_number() OVER (PARTITION BY qid ORDER BY shard, doc_start + pos) - 1 AS idx, count(*) OVER (PARTITION BY qid) AS cnt FROM hit QUALIFY idx < {K})", f"qid, idx, cnt, shard, {_PTR} AS ptr", str(_HALF), str(MAX_DISP - _HALF))),
+    "search_docs_random": _match(
+        more=f"""nr AS (SELECT *, row_number() OVER (PARTITION BY qid ORDER BY shard, doc_start + pos) - 1 AS idx, count(*) OVER (PARTITION BY qid) AS cnt FROM hit),
+dr AS (SELECT qid, ('0x' || substr(md5('7|' || qid || '|' || draw), 1, 12))::BIGINT % cnt AS idx FROM (SELECT DISTINCT qid, cnt FROM nr), (SELECT unnest(range({K})) AS draw)),""",
+        then=_shown("nr JOIN dr USING (qid, idx)", f"qid, idx, cnt, shard, {_PTR} AS ptr", str(_HALF), str(MAX_DISP - _HALF)),
+    ),
     "creativity": _sql(_TAILS, _ext("p"), then="SELECT p.qid // 100000 AS qid, p.qid % 100000 AS l, p.qid % 100000 + coalesce(max(e.n), 0) AS r FROM p LEFT JOIN ext e ON p.qid = e.k GROUP BY p.qid"),
     "attribution_spans": _sql(
         _TAILS, _ext("p"), _LAYG, _UNI,
@@ -173,5 +190,8 @@ cn AS (SELECT n AS len, ids, count(*) AS cnt, min((doc_id, pos)) AS first FROM n
 bu AS (SELECT *, CASE WHEN cnt <= 1 THEN 'ultra_rare' WHEN cnt <= 5 THEN 'rare' WHEN cnt <= 20 THEN 'low' WHEN cnt <= 100 THEN 'mid' WHEN cnt <= 1000 THEN 'high' ELSE 'very_high' END AS bucket FROM cn),""",
         then="SELECT bucket, len::BIGINT AS len, cnt, ids FROM bu QUALIFY row_number() OVER (PARTITION BY len, bucket ORDER BY first) <= 20",
     ),
-    "verify_index": _match(then="SELECT qid, count(*) AS left_cnt, count(*) AS right_cnt FROM hit WHERE false GROUP BY qid"),
+    "verify_index": _match(
+        more="vc AS (SELECT q.qid, count(hit.qid) AS left_cnt, count(hit.qid) FILTER (doc_id NOT IN (SELECT doc_id FROM labels WHERE toxic = 1)) AS right_cnt FROM q LEFT JOIN hit USING (qid) GROUP BY q.qid),",
+        then="SELECT * FROM vc WHERE left_cnt <> right_cnt",
+    ),
 }
