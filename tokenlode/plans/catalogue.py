@@ -139,7 +139,7 @@ def _attribution(s, d):
 
 
 def _infgram_ntd(s, d):
-    return _rounded(distribution.infgram_ntd(corpus(s, d), prompts(s, d)))
+    return _longs(distribution.infgram_ntd(corpus(s, d), prompts(s, d)))
 
 
 def _slice_docs(s, d):
@@ -163,11 +163,11 @@ _Q = {
     "ngram_count_batch": lambda s, d: _longs(count(corpus(s, d), grams(s, d))),
     "find_by_shard": _find_by_shard,
     "find_with_hint": _find_with_hint,
-    "primitive_prob": lambda s, d: _rounded(distribution.prob(corpus(s, d), gram_prompts(s, d))),
-    "primitive_ntd": lambda s, d: _rounded(distribution.ntd(corpus(s, d), grams(s, d))),
-    "ntd_topk": lambda s, d: _rounded(distribution.topk(distribution.ntd(corpus(s, d), grams(s, d)), 20)),
-    "ntd_approx": lambda s, d: _rounded(distribution.approximate(distribution.ntd(corpus(s, d), grams(s, d)), SUPPORT)),
-    "infgram_prob": lambda s, d: _rounded(distribution.infgram_prob(corpus(s, d), prompts(s, d))),
+    "primitive_prob": lambda s, d: _longs(distribution.prob(corpus(s, d), gram_prompts(s, d))),
+    "primitive_ntd": lambda s, d: _longs(distribution.ntd(corpus(s, d), grams(s, d))),
+    "ntd_topk": lambda s, d: _longs(distribution.topk(distribution.ntd(corpus(s, d), grams(s, d)), 20)),
+    "ntd_approx": lambda s, d: _longs(distribution.approximate(distribution.ntd(corpus(s, d), grams(s, d)), SUPPORT)),
+    "infgram_prob": lambda s, d: _longs(distribution.infgram_prob(corpus(s, d), prompts(s, d))),
     "infgram_ntd": _infgram_ntd,
     "cursor_advance": _cursor_advance,
     "greedy_generate": lambda s, d: _longs(distribution.greedy(corpus(s, d), grams(s, d, 2), STEPS)),

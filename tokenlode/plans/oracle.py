@@ -120,27 +120,27 @@ SQL = {
     "ngram_count_batch": _match(then="SELECT q.qid, count(hit.qid) AS count, false AS approx FROM q LEFT JOIN hit USING (qid) GROUP BY ALL"),
     "find_by_shard": _match(then="SELECT qid, shard, count(*) AS cnt FROM hit GROUP BY ALL"),
     "find_with_hint": _sql("q AS (SELECT qid, ids[1:5] AS ids FROM b WHERE len(ids) >= 5),", _ext(), _LAYG, _HIT, then=f"SELECT qid, shard, {_PTR} AS ptr FROM hit"),
-    "primitive_ntd": _match(more=_NTD, then="SELECT *, round(cont_cnt / prompt_cnt, 6) AS prob FROM nd"),
-    "ntd_topk": _match(more=_NTD, then="SELECT *, round(cont_cnt / prompt_cnt, 6) AS prob, row_number() OVER (PARTITION BY qid ORDER BY cont_cnt DESC, token) AS rank FROM nd QUALIFY rank <= 20"),
+    "primitive_ntd": _match(more=_NTD, then="SELECT *, cont_cnt / prompt_cnt AS prob FROM nd"),
+    "ntd_topk": _match(more=_NTD, then="SELECT *, cont_cnt / prompt_cnt AS prob, row_number() OVER (PARTITION BY qid ORDER BY cont_cnt DESC, token) AS rank FROM nd QUALIFY rank <= 20"),
     "ntd_approx": _match(
         more=_NTD + f"""un AS (SELECT *, {_UNIT} AS unit, (sum(cont_cnt) OVER (PARTITION BY qid ORDER BY token))::BIGINT AS e FROM nd),
 pt AS (SELECT *, unnest(range(0, prompt_cnt, unit)) AS a FROM (SELECT DISTINCT qid, prompt_cnt, unit FROM un)),
 mid AS (SELECT *, least(unit, prompt_cnt - a) AS w, a + least(unit, prompt_cnt - a) // 2 AS m FROM pt),""",
-        then="SELECT un.qid, token, sum(w)::BIGINT AS cont_cnt, un.prompt_cnt, round(sum(w) / un.prompt_cnt, 6) AS prob, un.unit > 1 AS approx FROM un JOIN mid ON un.qid = mid.qid AND m >= e - un.cont_cnt AND m < e GROUP BY un.qid, token, un.prompt_cnt, un.unit",
+        then="SELECT un.qid, token, sum(w)::BIGINT AS cont_cnt, un.prompt_cnt, sum(w) / un.prompt_cnt AS prob, un.unit > 1 AS approx FROM un JOIN mid ON un.qid = mid.qid AND m >= e - un.cont_cnt AND m < e GROUP BY un.qid, token, un.prompt_cnt, un.unit",
     ),
     "primitive_prob": _sql(
         _grams(2, 3, 4, name="q0"), "q AS (SELECT qid, ids[:len(ids) - 1] AS ids, ids[len(ids)] AS cont FROM q0),", _ext(), _LAYG, _HIT,
-        then="SELECT q.qid, count(hit.qid) AS prompt_cnt, count(*) FILTER (t.token = q.cont) AS cont_cnt, CASE WHEN count(hit.qid) > 0 THEN round(count(*) FILTER (t.token = q.cont) / count(hit.qid), 6) ELSE -1.0::DOUBLE END AS prob FROM q LEFT JOIN hit USING (qid) LEFT JOIN tok t ON t.g = hit.g + hit.n GROUP BY q.qid",
+        then="SELECT q.qid, count(hit.qid) AS prompt_cnt, count(*) FILTER (t.token = q.cont) AS cont_cnt, CASE WHEN count(hit.qid) > 0 THEN count(*) FILTER (t.token = q.cont) / count(hit.qid) ELSE -1.0::DOUBLE END AS prob FROM q LEFT JOIN hit USING (qid) LEFT JOIN tok t ON t.g = hit.g + hit.n GROUP BY q.qid",
     ),
     "infgram_prob": _sql(
         _PROMPT, _ext("p"), _BACK, _NONE,
-        then="""SELECT pr.qid, count(*) AS prompt_cnt, count(*) FILTER (nxt = cont) AS cont_cnt, round(count(*) FILTER (nxt = cont) / count(*), 6) AS prob, any_value(suffix_len) AS suffix_len FROM pr JOIN fit USING (qid) GROUP BY pr.qid
-UNION ALL SELECT qid, (SELECT sum(n) FROM uni)::BIGINT, coalesce(n, 0)::BIGINT, round(coalesce(n, 0) / (SELECT sum(n) FROM uni), 6), 0 FROM unknown LEFT JOIN uni ON token = cont""",
+        then="""SELECT pr.qid, count(*) AS prompt_cnt, count(*) FILTER (nxt = cont) AS cont_cnt, count(*) FILTER (nxt = cont) / count(*) AS prob, any_value(suffix_len) AS suffix_len FROM pr JOIN fit USING (qid) GROUP BY pr.qid
+UNION ALL SELECT qid, (SELECT sum(n) FROM uni)::BIGINT, coalesce(n, 0)::BIGINT, coalesce(n, 0) / (SELECT sum(n) FROM uni), 0 FROM unknown LEFT JOIN uni ON token = cont""",
     ),
     "infgram_ntd": _sql(
         _PROMPT, _ext("p"), _BACK, _NONE,
         "nt AS (SELECT qid, coalesce(nxt, '<eos>') AS token, count(*) AS cont_cnt, any_value(suffix_len) AS suffix_len FROM fit GROUP BY 1, 2 UNION ALL SELECT qid, token, n, 0 FROM unknown, uni),",
-        then="SELECT qid, token, cont_cnt, (sum(cont_cnt) OVER (PARTITION BY qid))::BIGINT AS prompt_cnt, round(cont_cnt / sum(cont_cnt) OVER (PARTITION BY qid), 6) AS prob, suffix_len FROM nt",
+        then="SELECT qid, token, cont_cnt, (sum(cont_cnt) OVER (PARTITION BY qid))::BIGINT AS prompt_cnt, cont_cnt / sum(cont_cnt) OVER (PARTITION BY qid) AS prob, suffix_len FROM nt",
     ),
     "cursor_advance": _sql(_ext("b"), then="SELECT k AS qid, n AS step, count(*) AS cnt FROM ext GROUP BY ALL"),
     "greedy_generate": _match(2, more="\n".join(_GREEDY), then=" UNION ALL ".join(f"SELECT qid, {k + 1}::BIGINT AS step, token, cont_cnt FROM s{k}" for k in range(STEPS))),
