@@ -19,7 +19,6 @@ from __future__ import annotations
 
 import datetime
 import hashlib
-import math
 import re
 from collections.abc import Iterator
 
