@@ -1,6 +1,7 @@
 """Answers on a corpus of nine tokens, and random corpora against brute force."""
 
 import io
+import json
 import random
 
 import numpy as np
@@ -182,6 +183,12 @@ def test_cli(engine, capsys, tmp_path, monkeypatch):
     assert capsys.readouterr().out.split("\n")[0] == "10 20 30"
     monkeypatch.setattr("sys.stdin", io.StringIO("ping\n\ncount 1 30\nquit\nping\n"))
     assert cli.main(["rpc", "--index", str(tmp_path)]) == 0 and capsys.readouterr().out == "pong\ncount 2 0\n"
+    monkeypatch.setattr("sys.stdin", io.StringIO("10\nx\n"))
+    assert cli.main(["run", "--index", str(tmp_path), "--interactive"]) == 0
+    assert [x.split("\t")[0] for x in capsys.readouterr().out.splitlines()][0] == "20"
+    (tmp_path / "here.json").write_text(json.dumps({"b": {"s3_url": str(tmp_path), "tokenizer": {}, "version": 5}}))
+    assert cli.main(["run", "b", "--catalogue", str(tmp_path / "here.json"), "--prompt", "10 20", "--topk", "1"]) == 0
+    assert capsys.readouterr().out == "30\t1\t1.000000\n"
     (tmp_path / "c.json").write_text('{"b": {"s3_url": "u", "tokenizer": {}, "version": 4}}')
     assert cli.main(["list", str(tmp_path / "c.json")]) == 0 and capsys.readouterr().out == "b\tu\t{}\t4\n"
 
