@@ -8,7 +8,8 @@ again, the left half's share of each shard's places is drawn from a generator
 seeded by the half, so a task draws only the rows of its own parts, each in
 log(parts) steps. A part permutes its rows and deals them out along its row
 of the matrix; after the exchange each shard is put in the order of random
-keys.
+keys: rows are range-partitioned by shard and key, so a shard can be larger than a task, and the
+sizes of the ranges before it give a row's place.
 
 A row's part and place come from its file and its index there, not from how
 Spark splits files, so a task that is run again sends every row where the
@@ -25,6 +26,7 @@ import pandas as pd
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from ..sources.shared import cleaned
 from .common import fresh, named, scratch
 
 #: Rows of a part, and the largest population that numpy's sampler takes.
@@ -164,12 +166,13 @@ def shard_paths(spark: SparkSession, path: str, shards: int, seed: int = 0, part
     order = [F.col(d + ".shard"), F.col(d + ".key"), F.col(f), F.col(i)]
     out = scratch(spark, "dealt")
     sorted_ = sent.repartitionByRange(tasks, *order).sortWithinPartitions(*order)
-    sorted_.withColumns({f + "part": F.spark_partition_id(), f + "at": F.monotonically_increasing_id().bitwiseAND(F.lit((1 << 33) - 1))}).write.parquet(out)
+    with cleaned(spark):
+        sorted_.withColumns({f + "part": F.spark_partition_id(), f + "at": F.monotonically_increasing_id().bitwiseAND(F.lit((1 << 33) - 1))}).write.parquet(out)
     out = spark.read.parquet(out)
     held = out.groupBy(F.col(d + ".shard").alias("s"), F.col(f + "part").alias("p")).agg(F.min(f + "at").alias("least"), F.count("*").alias("n"))
     # a row for each range, and one more for each shard
     before = held.withColumn("before", F.sum("n").over(Window.partitionBy("s").orderBy("p")) - F.col("n") - F.col("least")).select(F.struct("s", "p").alias(f + "in"), F.col("before").alias(f + "before"))
-    out = out.withColumn(f + "in", F.struct(F.col(d + ".shard").alias("s"), F.col(f + "part").alias("p"))).join(before, f + "in")
+    out = out.withColumn(f + "in", F.struct(F.col(d + ".shard").alias("s"), F.col(f + "part").alias("p"))).join(F.broadcast(before), f + "in")  # as many rows as tasks and shards, whatever the table
     return out.select(F.col(d + ".shard").alias("shard"), (F.col(f + "at") + F.col(f + "before")).cast("int").alias("place"), *[named(out, c) for c in cols])
 
 
