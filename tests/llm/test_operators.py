@@ -178,6 +178,32 @@ def test_ngram_jaccard_in_many_parts(spark, monkeypatch):
     assert classes(ngram_jaccard.jaccard_join(d)) == brute_classes(rows)
 
 
+def test_ngram_jaccard_groups(spark, monkeypatch):
+    """Small limits, so that some near copies are in groups of many blocks, some in none, and some linked across groups; equal sets, sizes apart, ids shared."""
+    rng = np.random.default_rng(6)
+    base = [[f"w{x}" for x in rng.integers(0, 400, 40)] for _ in range(4)]
+    rows = []
+    for i in range(160):
+        w = list(base[i % 4])
+        for k in rng.integers(0, 40, rng.integers(0, 8)):
+            w[k] = f"x{rng.integers(0, 2000)}"
+        w = w[: rng.integers(15, 41)] if i % 5 == 0 else w + base[(i + 1) % 4][:30] if i % 7 == 0 else w
+        rows.append((i, " ".join(w)))
+    rows += [(200, rows[3][1]), (201, rows[3][1]), (3, rows[4][1]), (4, rows[4][1]), (202, "alone in all of this"), (None, rows[5][1])]
+    for name, v in (("HOT", 12), ("ROWS", 8), ("MEET", 300), ("ENTRIES", 300), ("BLOCK", 16), ("GROUP", 60), ("EDGES", 40)):
+        monkeypatch.setattr(ngram_jaccard, name, v)
+    d = spark.createDataFrame(rows, "doc_id long, text string")
+    want = brute_classes(rows)
+    assert classes(ngram_jaccard.jaccard_join(d)) == want
+    assert sorted({r["doc_id"] for r in ngram_jaccard.keep_one(d.where("doc_id is not null and doc_id not in (3, 4)")).collect()}) == sorted({c for _, c, _, _ in brute_classes([r for r in rows if r[0] not in (None, 3, 4)])})
+    one = {}
+    for i, text in sorted((i, x) for i, x in rows if i is not None and i not in (3, 4)):
+        one.setdefault(text, i)
+    one = {i: text for text, i in one.items()}
+    got = [(r["doc_a"], r["doc_b"]) for r in ngram_jaccard.pairs(d.where("doc_id not in (3, 4)")).collect()]
+    assert len(got) == len(set(got)) and set(got) == brute_jaccard(one.items())
+
+
 def test_ngram_jaccard_ids_shared(spark):
     a, b = "one two three four five", "six seven eight nine ten"
     d = spark.createDataFrame([(1, a), (5, a), (5, b), (7, b + " eleven"), (None, a)], "doc_id long, text string")
