@@ -204,6 +204,15 @@ def test_ngram_jaccard_groups(spark, monkeypatch):
     assert len(got) == len(set(got)) and set(got) == brute_jaccard(one.items())
 
 
+def test_ngram_jaccard_many_near_copies_are_not_paired(spark):
+    """400 near copies: no pair of them is written as a candidate, all links are counted."""
+    base = [f"w{k}" for k in range(60)]
+    rows = [(i, " ".join(base[: i % 60] + [f"x{i}"] + base[i % 60 + 1 :])) for i in range(400)]
+    d = spark.createDataFrame(rows, "doc_id long, text string")
+    assert (ngram_jaccard.Join(d).candidates().selectExpr("sum(n)").first()[0] or 0) < 400
+    assert classes(ngram_jaccard.jaccard_join(d)) == [(i, 0, 399, 0) for i in range(400)]
+
+
 def test_ngram_jaccard_ids_shared(spark):
     a, b = "one two three four five", "six seven eight nine ten"
     d = spark.createDataFrame([(1, a), (5, a), (5, b), (7, b + " eleven"), (None, a)], "doc_id long, text string")
