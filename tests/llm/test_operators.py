@@ -49,6 +49,28 @@ def test_sentencepiece(odd, none, docs):
     assert {r["doc_id"]: r["text"] for r in sentencepiece_wfst.decode(sentencepiece_wfst.encode(odd)).collect() if r["doc_id"] is not None}[0] == ""
 
 
+def test_sentencepiece_memory(monkeypatch):
+    """What a worker remembers of 400,000 words is small; words that recur all the time are encoded once."""
+    import itertools
+    import tracemalloc
+
+    t = sentencepiece_wfst.Transducer(sentencepiece_wfst.MODEL)
+    words_ = ["".join(x) for x in itertools.product("etaoinshrdlucmfwypvbgkqjxz", repeat=4)][:400_000]
+    tracemalloc.start()
+    for k in range(0, len(words_), 2000):
+        t.encode([" ".join(words_[k : k + 2000])])
+    held = tracemalloc.get_traced_memory()[0]
+    tracemalloc.stop()
+    assert held < 70e6, held
+    monkeypatch.setattr(sentencepiece_wfst, "WORDS", 100)
+    t, often = sentencepiece_wfst.Transducer(sentencepiece_wfst.MODEL), []
+    encode_words = t.encode_words
+    monkeypatch.setattr(t, "encode_words", lambda ws: (often.extend(w for w in ws if w == " the"), encode_words(ws)))
+    for k in range(0, 4000, 40):
+        t.encode(["the " + " ".join(words_[k : k + 40])])
+    assert len(often) == 1
+
+
 @pytest.mark.parametrize("kind", [1, 2])
 def test_sentencepiece_without_byte_fallback(tmp_path, kind):
     """Models written by hand: runs of unknown characters are one piece, as in the library."""

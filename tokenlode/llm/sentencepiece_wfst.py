@@ -3,7 +3,8 @@
 Three transducers are compiled from a model file: the normaliser (character
 map, dummy prefix, white space), the pieces (a trie whose arcs give a piece
 and its weight) and the byte fallback (any other character to its bytes).
-Composed with an input, they form a lattice over its positions; the ids are
+The trie is run as an automaton whose state tells all pieces that end at a
+position. Composed with an input, they form a lattice over its positions; the ids are
 those of the shortest path in the tropical semiring.
 
 For a unigram model a piece weighs its negated log probability. For a BPE
@@ -21,7 +22,6 @@ whose paths are looked up again where a word recurs.
 
 from __future__ import annotations
 
-import os
 import re
 import struct
 from collections.abc import Iterator
@@ -30,12 +30,12 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 
-from .common import named
+from .common import named, release
 
 MODEL = "/opt/tokenizers/piece_bpe_32k.model"
 SPACE = "▁"
-#: Paths of words, and verdicts on pairs of pieces, that a worker remembers.
-WORDS, PAIRS = 200_000, 600_000
+#: Paths of words that a worker remembers at least (two and a half times as many at most, and one text's), and verdicts on pairs of pieces.
+WORDS, PAIRS = 100_000, 300_000
 
 
 class Normaliser:
@@ -85,6 +85,22 @@ class Normaliser:
         return " " + text if self.prefix and text else text
 
 
+class State(dict):
+    """Of the automaton of pieces: the next states by character, found as they are needed.
+
+    text is the longest end of the input with which a piece begins; arcs has the pieces that end there, the longest
+    first and the last character always, each with its length negated and its verdicts by the piece before.
+    """
+
+    __slots__ = ("of", "text", "arcs")
+
+    def __missing__(self, ch: str) -> State:
+        s = self.of.state(self.text + ch)
+        if s.text:
+            self[ch] = s
+        return s
+
+
 class Transducer:
     """The composition of the normaliser, the pieces and the byte fallback."""
 
@@ -105,16 +121,14 @@ class Transducer:
         self.bytewise = m.trainer_spec.byte_fallback and len(self.byte) == 256
         self.surface = [b"" if p.type == 3 else m.trainer_spec.unk_surface.encode() if p.type == 2 else bytes([int(p.piece[3:5], 16)]) if p.type == 6 else p.piece.replace(SPACE, " ").encode() for p in m.pieces]
         self.unk_cost = 10 - min(self.score.values())
-        # the trie reads pieces backwards: the arcs into a position
-        self.trie: dict = {}
-        for piece in self.ids:
-            node = self.trie
-            for ch in reversed(piece):
-                node = node.setdefault(ch, {})
-            node[""] = piece
+        self.code = {p: struct.pack("<i", i) for p, i in self.ids.items()}
+        self.states: dict[str, State | None] = {"": None} | {p[:k]: None for p in self.ids for k in range(1, len(p) + 1)}
+        self.verdicts: dict[str, dict[str, bool]] = {}
         self.cut = self._cut()
+        # paths used since there were WORDS of them, and those from before
         self.paths: dict[str, bytes] = {}
-        self.pairs: dict[tuple[str, str], bool] = {}
+        self.older: dict[str, bytes] = {}
+        self.pairs = 0
 
     def _cut(self) -> re.Pattern | None:
         """Matches the words between whose ends no piece reaches, or None."""
@@ -129,14 +143,26 @@ class Transducer:
     def words(self, text: str) -> list[str]:
         return self.cut.findall(text) if self.cut else [text] if text else []
 
-    def apart(self, a: str, b: str) -> bool:
+    def state(self, text: str) -> State:
+        """That of the longest end of text with which a piece begins."""
+        while text not in self.states:
+            text = text[1:]
+        s = self.states[text]
+        if s is None:
+            s = self.states[text] = State()
+            ends = [text[k:] for k in range(len(text)) if text[k:] in self.ids or k == len(text) - 1]
+            s.of, s.text, s.arcs = self, text, tuple((p, -len(p), self.verdicts.setdefault(p, {})) for p in ends)
+        return s
+
+    def _judge(self, a: str, b: str, known: dict[str, bool]) -> bool:
         """Whether BPE over a and b joined gives a and b; with an empty a, over b gives b."""
-        known = self.pairs.get((a, b))
-        if known is None:
-            if len(self.pairs) >= PAIRS:
-                self.pairs.clear()
-            known = self.pairs[a, b] = self._merged(a, b)
-        return known
+        if self.pairs >= PAIRS:
+            for v in self.verdicts.values():
+                v.clear()
+            self.pairs = 0
+        self.pairs += 1
+        known[a] = ok = self._merged(a, b)
+        return ok
 
     def _merged(self, a: str, b: str) -> bool:
         s, score, edge = list(a + b), self.score.get, len(a)
@@ -154,7 +180,10 @@ class Transducer:
             s[at : at + 2] = [s[at] + s[at + 1]]
 
     def _emit(self, pieces: list[str]) -> bytes:
-        out = []
+        try:
+            return b"".join([self.code[p] for p in pieces])
+        except KeyError:
+            out = []
         for p in pieces:
             i = self.ids.get(p)
             out += [i] if i is not None else [self.byte[b] for b in p.replace(" ", SPACE).encode()] if self.bytewise else [self.unk]
@@ -162,32 +191,39 @@ class Transducer:
 
     def encode_words(self, words: list[str]) -> None:
         """Add the words' paths. In sorted order, what a word shares with the one before it keeps its states."""
-        before, cost, last = "", [0.0], [""]
+        before, cost, last, states = "", [0.0], [""], [self.state("")]
         for w in sorted(words):
-            keep = len(os.path.commonprefix((before, w)))
-            del cost[keep + 1 :], last[keep + 1 :]
-            for end in range(keep + 1, len(w) + 1):
-                node, at, arcs = self.trie, end, []
-                while at and (node := node.get(w[at - 1])) is not None:
-                    at -= 1
-                    if "" in node:
-                        arcs.append(node[""])
-                if not arcs or len(arcs[0]) > 1:
-                    arcs.insert(0, w[end - 1])
-                best, piece = float("inf"), ""
-                if self.bpe:
-                    for p in reversed(arcs):
-                        prior = last[end - len(p)]
-                        if self.apart(prior, p):
-                            best, piece = 0.0, p
+            keep = 0
+            for x, y in zip(before, w):
+                if x != y:
+                    break
+                keep += 1
+            del cost[keep + 1 :], last[keep + 1 :], states[keep + 1 :]
+            s = states[-1]
+            for ch in w[keep:]:
+                s = s[ch]
+                states.append(s)
+                if not s.text:  # no piece that holds this character can be here, so it stands alone
+                    last.append(ch)
+                    if not self.bpe:
+                        cost.append(cost[-1] + self.unk_cost)
+                elif self.bpe:
+                    piece = ""
+                    for p, k, known in s.arcs:
+                        prior = last[k]
+                        ok = known.get(prior)
+                        if ok or ok is None and self._judge(prior, p, known):
+                            piece = p
                             break
+                    last.append(piece)
                 else:
-                    for p in arcs:
-                        c = cost[end - len(p)] + (-self.score[p] if p in self.score else self.unk_cost)
+                    best, piece = float("inf"), ""
+                    for p, k, _ in reversed(s.arcs):
+                        c = cost[k] + (-self.score[p] if p in self.score else self.unk_cost)
                         if c < best:
                             best, piece = c, p
-                cost.append(best)
-                last.append(piece)
+                    cost.append(best)
+                    last.append(piece)
             before = w
             pieces, end = [], len(w)
             while end:
@@ -197,21 +233,29 @@ class Transducer:
 
     def encode(self, texts: list[str]) -> list[bytes]:
         """The ids of each text as 32-bit integers."""
-        cut = [self.words(self.normalise(t)) for t in texts]
-        out, i = [], 0
-        while i < len(cut):  # so many texts at once that their words fit
-            j, n = i, 0
-            while j < len(cut) and (j == i or n + len(cut[j]) <= WORDS):
-                n += len(cut[j])
-                j += 1
-            new = {w for ws in cut[i:j] for w in ws if w not in self.paths}
-            if len(self.paths) + len(new) > 2 * WORDS:
-                self.paths.clear()
-                new = {w for ws in cut[i:j] for w in ws}
-            self.encode_words(list(new))
-            out += [self._joined(b"".join(map(self.paths.__getitem__, ws))) for ws in cut[i:j]]
-            i = j
-        return out
+        out: list[bytes] = []
+        cut: list[list[str]] = []
+        n = 0
+        for t in texts:  # so many texts at once that their words fit
+            cut.append(self.words(self.normalise(t)))
+            n += len(cut[-1])
+            if n >= WORDS // 4:
+                out += self._paths(cut)
+                cut, n = [], 0
+        return out + self._paths(cut)
+
+    def _paths(self, cut: list[list[str]]) -> list[bytes]:
+        """The ids of texts that are cut into words."""
+        if len(self.paths) >= WORDS:
+            self.paths, self.older = {}, self.paths
+        new = []
+        for w in {w for ws in cut for w in ws if w not in self.paths}:
+            if (path := self.older.get(w)) is None:
+                new.append(w)
+            else:
+                self.paths[w] = path
+        self.encode_words(new)
+        return [self._joined(b"".join(map(self.paths.__getitem__, ws))) for ws in cut]
 
     def _joined(self, path: bytes) -> bytes:
         """Without byte fallback a run of unknown characters is one unknown piece."""
@@ -224,7 +268,9 @@ class Transducer:
     def decode(self, ids: np.ndarray) -> str:
         """The text of ids; bytes that are no UTF-8 become U+FFFD, ids without a piece nothing."""
         n, s = len(self.surface), self.surface
-        text = b"".join([s[i] if 0 <= i < n else b"" for i in ids.tolist()]).decode("utf-8", "replace")
+        if len(ids) and (ids.min() < 0 or ids.max() >= n):
+            ids = ids[(ids >= 0) & (ids < n)]
+        text = b"".join(map(s.__getitem__, ids.tolist())).decode("utf-8", "replace")
         return text[1:] if self.normalise.prefix and text.startswith(" ") else text
 
 
@@ -248,6 +294,7 @@ def encode(docs: DataFrame, model: str = MODEL, id_col: str = "doc_id", text_col
     """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        release()
         t = transducer(model)
         for whole in batches:
             for k in range(0, whole.num_rows, 256):
