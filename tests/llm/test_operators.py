@@ -51,7 +51,6 @@ def test_sentencepiece(odd, none, docs):
 
 def test_sentencepiece_memory(monkeypatch):
     """What a worker remembers of 400,000 words is small; words that recur all the time are encoded once."""
-    import itertools
     import tracemalloc
 
     t = sentencepiece_wfst.Transducer(sentencepiece_wfst.MODEL)
@@ -235,6 +234,18 @@ def test_ngram_jaccard_many_near_copies_are_not_paired(spark):
     assert classes(ngram_jaccard.jaccard_join(d)) == [(i, 0, 399, 0) for i in range(400)]
 
 
+def test_ngram_jaccard_passage_of_words_beyond_known(spark, monkeypatch):
+    """A passage in 300 texts that have nothing else in common makes no group of them, however few words KNOWN takes."""
+    monkeypatch.setattr(ngram_jaccard, "KNOWN", 5)
+    passage = [f"p{k}" for k in range(15)]
+    rows = [(i, " ".join([f"x{i}y{k}" for k in range(40)] + passage)) for i in range(300)] + [(300, " ".join(["other", *(f"x7y{k}" for k in range(40)), *passage]))]
+    d = spark.createDataFrame(rows, "doc_id long, text string")
+    j = ngram_jaccard.Join(d)
+    assert len(j.known.value[0]) == 15
+    assert (j.candidates().selectExpr("sum(n)").first()[0], j.groups) == (1, None)
+    assert classes(ngram_jaccard.jaccard_join(d)) == [(i, 7 if i == 300 else i, int(i in (7, 300)), 0) for i in range(301)]
+
+
 def test_ngram_jaccard_ids_shared(spark):
     a, b = "one two three four five", "six seven eight nine ten"
     d = spark.createDataFrame([(1, a), (5, a), (5, b), (7, b + " eleven"), (None, a)], "doc_id long, text string")
