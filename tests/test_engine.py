@@ -302,3 +302,51 @@ def test_cnf_cap_and_dedupe(spark):
     assert len(rows) == 30 and {r["factor"] for r in rows} == {4.0}
     r = cnf.count_cnf(c, one, 3, 30).first()
     assert (r["count"], r["approx"]) == (120, True)
+
+
+def _exchanged(df, spark) -> str:
+    """The physical plan above the scan of the corpus for matches, without what is broadcast."""
+    keep = {k: spark.conf.get(k) for k in ("spark.sql.adaptive.enabled", "spark.sql.autoBroadcastJoinThreshold")}
+    spark.conf.set("spark.sql.adaptive.enabled", "false")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        plan = df.sparkSession._jvm.PythonSQLUtils.explainString(df.select("*")._jdf.queryExecution(), "simple")
+    finally:
+        for k, v in keep.items():
+            spark.conf.set(k, v)
+    return plan
+
+
+def _random_corpus(spark, seed, docs=12, most=9, tokens=4):
+    r = random.Random(seed)
+    shards = [[[r.randrange(1, tokens) for _ in range(r.randrange(0, most))] for _ in range(docs)] for _ in range(2)]
+    return r, [d for s in shards for d in s], Corpus.from_ids(spark, shards, "u32")
+
+
+def test_matches_meet_the_layout_by_document(spark):
+    r, docs, c = _random_corpus(spark, 11)
+    grams = [[1], [2, 3], [2, 3], [3, 1, 2], [1, 1]]
+    q = spark.createDataFrame(list(enumerate(grams)), "qid long, ids array<bigint>")
+    got = match.placed(c, q)
+    lay = {x["doc_id"]: x["doc_start"] for x in c.layout().collect()}
+    want = sorted((k, d, (lay[d] + 1 + i) * 4) for k, g in enumerate(grams) for d, t in enumerate(docs) for i in range(len(t)) if t[i : i + len(g)] == g)
+    assert sorted((x["qid"], x["doc_id"], x["ptr"]) for x in got.collect()) == want
+    plan = _exchanged(got, spark)
+    assert "Generate explode" in plan and "Exchange hashpartitioning" not in plan.split("Generate explode")[0]  # matches stay where they are
+
+
+def test_next_tokens_are_counted_where_they_are_found(spark):
+    r, docs, c = _random_corpus(spark, 12)
+    prompts = [([1], 2), ([1], 3), ([2, 3], 0), ([2, 3], 1), ([9], 1), ([3], 3)]
+    q = spark.createDataFrame([(k, a, b) for k, (a, b) in enumerate(prompts)], "qid long, ids array<bigint>, cont long")
+    for end in (False, True):
+        want = {}
+        for k, (g, t) in enumerate(prompts):
+            nxt = [d[i + len(g)] if i + len(g) < len(d) else None for d in docs for i in range(len(d)) if d[i : i + len(g)] == g]
+            want[k] = (len(nxt), sum(x == t or (end and t == 0 and x is None) for x in nxt))
+        assert {x["qid"]: (x["prompt_cnt"], x["cont_cnt"]) for x in distribution.prob(c, q, end).collect()} == want
+    one = Corpus(spark.range(4).selectExpr("0 AS shard", "id AS doc_id", "array_repeat(5L, 500) AS tokens", "'' AS metadata").coalesce(1))
+    (_, n), = match.next_counts(one.docs, q.where("qid = 0").selectExpr("qid", "array(5L) AS ids"))
+    assert sorted(x["cnt"] for x in n.collect()) == [4, 4 * 499]
+    parts = one.docs.mapInArrow(match.scan.next_counts(spark.sparkContext.broadcast(match.Trie(match.pa.array([[5]])))), "u long, shard int, token long, cnt long")
+    assert parts.count() == 2  # 2,000 matches

@@ -2,12 +2,14 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..sources.corpus import Corpus
 from ..sources.shared import written
-from .match import find, prefix_counts
+from .match import find, next_counts, prefix_counts, sizes
 
 
 def shares(counts: DataFrame, *by: str) -> DataFrame:
@@ -21,13 +23,20 @@ def ntd(corpus: Corpus, prompts: DataFrame, sep: bool = False) -> DataFrame:
 
     The empty prompt goes on with every token of the corpus, a separator being eos; such prompts share one aggregation.
     """
-    nxt = F.coalesce(F.get("next", F.lit(0)), F.lit(corpus.eos))
+    nxt = F.coalesce("token", F.lit(corpus.eos))
     if sep:
         nxt = F.when(nxt == F.lit(corpus.sep), F.lit(corpus.eos)).otherwise(nxt)
-    some = find(corpus, prompts.where(F.size("ids") > 0), sep).groupBy("qid", nxt.alias("token")).agg(F.count("*").alias("cont_cnt"))
+    docs = _read(corpus, prompts, sep)
+    some = [c.select("u", nxt.alias("token"), "cnt").groupBy("u", "token").agg(F.sum("cnt").alias("cont_cnt")).join(F.broadcast(keyed), "u").select("qid", "token", "cont_cnt") for keyed, c in next_counts(docs, prompts.where(F.size("ids") > 0).select("qid", "ids"))]
+    some = reduce(DataFrame.unionByName, some)
     return shares(some.unionByName(prompts.where(F.size("ids") == 0).select("qid").crossJoin(_every(corpus))), "qid")  # the result has each token for each
 
 
+def _read(corpus: Corpus, prompts: DataFrame, sep: bool) -> DataFrame:
+    """Documents, with sep with as much of the stream behind them as the prompts and the token behind them take."""
+    return corpus.stream(max(sizes(prompts, "ids"), default=0) + 1) if sep else corpus.docs
+
+
 def behind(corpus: Corpus, at: DataFrame, n: int) -> DataFrame:
     """`ntd` of positions: at(qid, shard, doc_id, pos), pos -1 at a separator, and the tokens n behind them. A separator there is eos, so is the end of the shard."""
     d = corpus.stream(n + 1).join(at, ["shard", "doc_id"]).where((F.col("pos") >= -1) & (F.col("pos") + 1 < F.col("own")))
@@ -76,15 +85,22 @@ def prob(corpus: Corpus, prompts: DataFrame, eos_as_doc_end: bool = False, sep:
     cont is taken literally; with eos_as_doc_end the token eos is the end of a document as well. sep lets ids
     and cont hold the separator, which is the token behind each document's last but the shard's.
     """
-    nxt = F.get("next", F.lit(0))
-    hit = nxt == F.col("cont")
-    if eos_as_doc_end:
-        hit = hit | ((F.col("cont") == F.lit(corpus.eos)) & (nxt.isNull() | (nxt == F.lit(corpus.sep))))
-    got = find(corpus, prompts.where(F.size("ids") > 0).select("qid", "ids"), sep).join(prompts.select("qid", "cont"), "qid")
-    got = got.groupBy("qid").agg(F.count("*").alias("prompt_cnt"), F.count_if(F.coalesce(hit, F.lit(False))).alias("cont_cnt"))
+    kind = corpus.docs.schema["tokens"].dataType.elementType
+    got = []
+    for keyed, c in next_counts(_read(corpus, prompts, sep), prompts.where(F.size("ids") > 0).select("qid", "ids", F.col("cont").cast(kind).alias("cont"))):
+        c = written(c, "next-counts")
+        end = F.col("token").isNull() | ((F.col("token") == F.lit(corpus.sep)) & (F.col("token") != F.lit(corpus.eos)))
+        every = c.groupBy("u").agg(F.sum("cnt").alias("prompt_cnt"), F.coalesce(F.sum(F.when(end, F.col("cnt"))), F.lit(0)).alias("ends"))
+        # a prompt's row meets the one count of its continuation, not all that follows the prompt
+        own = F.coalesce("cnt", F.lit(0))
+        if eos_as_doc_end:
+            own = own + F.when(F.col("cont") == F.lit(corpus.eos), F.col("ends")).otherwise(0)
+        mine = c.join(F.broadcast(keyed.select("u", F.col("cont").alias("token")).distinct()), ["u", "token"], "left_semi").withColumnRenamed("token", "cont")
+        got.append(keyed.join(every, "u").join(mine, ["u", "cont"], "left").select("qid", "prompt_cnt", own.alias("cont_cnt")))
+    got = reduce(DataFrame.unionByName, got)
     # the empty prompt: what goes on is the token at each position
     empty = prompts.where(F.size("ids") == 0).select("qid", "cont")
-    tokens = corpus.docs.select(F.explode("tokens").alias("cont")).groupBy("cont").agg(F.count("*").alias("n"))
+    tokens = corpus.docs.select(F.explode("tokens").alias("cont")).join(F.broadcast(empty.select("cont").distinct()), "cont", "left_semi").groupBy("cont").agg(F.count("*").alias("n"))
     docs = corpus.docs.agg(F.count("*").alias("docs"), F.coalesce(F.sum(F.size("tokens").cast("bigint")), F.lit(0)).alias("tokens"))
     ends = F.col("cont") == F.lit(corpus.sep) if sep else F.lit(False)
     if eos_as_doc_end:

@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from ..sources.corpus import Corpus
 from ..sources.shared import written
 from .documents import shown
-from .match import find, text_counts, with_pointers
+from .match import find, placed, text_counts
 from .stats import unigram_logprob
 
 
@@ -62,7 +62,7 @@ def attribute(corpus: Corpus, texts: DataFrame, delims: list | None = None, min_
     """
     counts = text_counts(corpus, texts)
     s = written(spans(texts, cut(texts, counts, delims, bow), counts, min_len, max_cnt, bow), "spans")
-    at = with_pointers(corpus, find(corpus, s.select(F.struct("qid", "l").alias("qid"), "ids")))
+    at = placed(corpus, s.select(F.struct("qid", "l").alias("qid"), "ids"))
     at = at.groupBy("qid").agg(F.sort_array(F.collect_list(F.struct(F.col("shard").alias("s"), "ptr"))).alias("docs")).select("qid.*", "docs")  # count of them, max_cnt at most
     t = s.select("qid", "l", F.explode("ids").alias("token"))
     if logprobs:
@@ -86,7 +86,7 @@ def blocked(main: Corpus, other: Corpus, needles: DataFrame, ctx: int) -> DataFr
 
     Where the other corpus has the same needle in the same context it is blocked and shows no tokens.
     """
-    a = shown(main, with_pointers(main, find(main, needles)), F.lit(ctx), F.col("n") + ctx)
-    b = shown(other, find(other, needles), F.lit(ctx), F.col("n") + ctx).select("qid", "token_ids", F.lit(True).alias("hit")).distinct()
+    a = shown(main, placed(main, needles), F.lit(ctx), F.col("n") + ctx)
+    b = shown(other, find(other, needles, after=0), F.lit(ctx), F.col("n") + ctx).select("qid", "token_ids", F.lit(True).alias("hit")).distinct()
     both = a.join(b, ["qid", "token_ids"], "left").withColumn("blocked", F.coalesce("hit", F.lit(False)))
     return both.withColumn("token_ids", F.when(F.col("blocked"), F.slice("token_ids", 1, 0)).otherwise(F.col("token_ids"))).select("qid", "shard", "ptr", "doc_ix", "token_ids", "blocked")

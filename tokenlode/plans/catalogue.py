@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 
 from ..functions.tokens import tokenize
 from ..operators import cnf, distribution, documents, overlap, stats
-from ..operators.match import count, find, refine, with_pointers
+from ..operators.match import count, find, placed, refine, with_pointers
 from ..sources.corpus import Corpus
 
 GRAMS, CNF_D, MAX_DISP, CTX, K, STEPS, MIN_LEN, MAX_CNT = (1, 2, 3, 5), 10, 1000, 8, 3, 5, 5, 1000
@@ -82,7 +82,7 @@ def _corpus_stats(s, d):
 
 def _hits(s, d, *n):
     c = corpus(s, d)
-    return c, with_pointers(c, find(c, grams(s, d, *n)))
+    return c, placed(c, grams(s, d, *n))
 
 
 def _find_by_shard(s, d):
