@@ -389,3 +389,20 @@ def test_near_clauses_by_document_and_by_block(spark, monkeypatch, block):
         key = lambda x: (x["qid"], x["shard"], x["doc_id"], x["p"])
         assert sorted(map(key, cnf.strict(c, q, far).collect())) == sorted(map(key, cnf._strict_by_rows(c, q, far).collect()))
     assert "Window" not in _exchanged(cnf.strict(c, q, 2), spark)
+
+
+def test_draws_put_few_occurrences_in_order(spark, monkeypatch):
+    from tokenlode.operators import documents
+
+    monkeypatch.setattr(documents, "BLOCK", 16)
+    made = []
+    monkeypatch.setattr(documents, "written", lambda df, label, w=documents.written: made.append(w(df, label)) or made[-1])
+    r, docs, c = _random_corpus(spark, 15, docs=40, tokens=3)
+    q = spark.createDataFrame([(0, [1]), (1, [2]), (2, [1, 2])], "qid long, ids array<bigint>")
+    found = match.placed(c, q)
+    by = {k: sorted((x["shard"], x["ptr"]) for x in found.collect() if x["qid"] == k) for k in range(3)}
+    first = documents.first_k(found, 3).collect()
+    assert sorted((x["qid"], x["idx"], x["shard"], x["ptr"], x["cnt"]) for x in first) == [(k, i, *by[k][i], len(by[k])) for k in range(3) for i in range(3)]
+    drawn = documents.random_draws(found, 5, 7).collect()
+    assert len(drawn) == 15 and all((x["shard"], x["ptr"]) == by[x["qid"]][x["idx"]] and x["cnt"] == len(by[x["qid"]]) for x in drawn)
+    assert max(t.count() for t in made) < sum(map(len, by.values()))

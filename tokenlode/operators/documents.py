@@ -3,18 +3,19 @@
 from __future__ import annotations
 
 import random
+from collections.abc import Callable
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.tokens import display
 from ..sources.corpus import Corpus
-from ..sources.shared import running
+from ..sources.shared import written
 
 #: Tokens of a stretch in which pointers look for their document.
 SPAN = 1 << 16
-#: Parts of a query's occurrences.
-PARTS = 64
+#: Bytes of a shard in which a query's occurrences are counted together, and numbers by which wanted documents are told.
+BLOCK, HASHES = 1 << 22, 1 << 21
 
 
 def locate(corpus: Corpus, requests: DataFrame) -> DataFrame:
@@ -29,9 +30,17 @@ def locate(corpus: Corpus, requests: DataFrame) -> DataFrame:
     return got.withColumn("pos", F.col("o__") - F.col("doc_start") - 1).drop("o__", "span")
 
 
-def shown(corpus: Corpus, at: DataFrame, before: Column, after: Column) -> DataFrame:
-    """at(.., shard, doc_id, pos) with token_ids, disp_len, needle_offset and metadata: before tokens in front of pos, after from it on."""
-    d = at.join(corpus.docs.select("shard", "doc_id", "tokens", "metadata"), ["shard", "doc_id"])
+def shown(corpus: Corpus, at: DataFrame, before: Column, after: Column, every: bool = False) -> DataFrame:
+    """at(.., shard, doc_id, pos) with token_ids, disp_len, needle_offset and metadata: before tokens in front of pos, after from it on.
+
+    Only documents that at asks for, and a few others, are exchanged, unless it asks for every one: a hash of HASHES values tells them.
+    """
+    docs = corpus.docs.select("shard", "doc_id", "tokens", "metadata")
+    if not every:
+        at = written(at, "requests")
+        key = F.pmod(F.xxhash64("shard", "doc_id"), F.lit(HASHES)).alias("key__")
+        docs = docs.withColumn("key__", key).join(F.broadcast(at.select(key).distinct()), "key__", "left_semi").drop("key__")
+    d = at.join(docs, ["shard", "doc_id"])
     start = F.greatest(F.col("pos") - before, F.lit(0))
     d = d.withColumn("token_ids", display(F.col("tokens"), start, F.col("pos") + after)).withColumn("disp_len", F.size("token_ids").cast("bigint"))
     return d.withColumn("needle_offset", F.when(F.col("pos") >= 0, F.col("pos") - start).cast("bigint")).drop("tokens")
@@ -64,19 +73,30 @@ def by_ix(corpus: Corpus, requests: DataFrame | None, max_disp_len: int) -> Data
     at = corpus.layout()
     if requests is not None:
         at = at.join(requests, "doc_ix")
-    return shown(corpus, at.withColumn("pos", F.lit(0)), F.lit(0), F.lit(max_disp_len))
+    return shown(corpus, at.withColumn("pos", F.lit(0)), F.lit(0), F.lit(max_disp_len), every=requests is None)
 
 
-def first_k(found: DataFrame, k: int) -> DataFrame:
-    """The first k occurrences of each query by shard and pointer, with idx and cnt, how many there are.
+def picked(found: DataFrame, wanted: Callable[[DataFrame], DataFrame]) -> DataFrame:
+    """Of found(qid, shard, ptr, ..) the rows that wanted, given (qid, cnt), asks for as (qid, idx, ..), with cnt and idx, their number in the order of shard and pointer.
 
-    Of each part of a query's occurrences the first k are taken first, so none of many occurrences meets in one task.
+    Occurrences are counted by BLOCK bytes of a shard; only those in the blocks that hold a wanted one are put in order, each block by itself.
     """
-    cnt = found.groupBy("qid").agg(F.count("*").alias("cnt"))
-    part = F.pmod(F.xxhash64("shard", "ptr"), F.lit(PARTS))
-    some = found.withColumn("k__", F.row_number().over(Window.partitionBy("qid", part).orderBy("shard", "ptr"))).where(F.col("k__") <= k).drop("k__")
-    got = some.withColumn("idx", F.row_number().over(Window.partitionBy("qid").orderBy("shard", "ptr")).cast("bigint") - 1).where(F.col("idx") < k)
-    return got.join(cnt, "qid")
+    blocks = found.select("qid", "shard", F.floor(F.col("ptr") / BLOCK).alias("block__")).groupBy("qid", "shard", "block__").agg(F.count("*").alias("n__"))
+    blocks = written(blocks, "blocks")
+    upto = F.sum("n__").over(Window.partitionBy("qid").orderBy("shard", "block__"))
+    blocks = blocks.withColumn("before__", upto - F.col("n__"))
+    ask = wanted(blocks.groupBy("qid").agg(F.sum("n__").alias("cnt")))
+    ask = blocks.join(ask, "qid").where((F.col("idx") >= F.col("before__")) & (F.col("idx") < F.col("before__") + F.col("n__")))
+    ask = written(ask.withColumn("k__", F.col("idx") - F.col("before__")).drop("n__", "before__"), "wanted")
+    some = found.withColumn("block__", F.floor(F.col("ptr") / BLOCK)).join(F.broadcast(ask.select("qid", "shard", "block__").distinct()), ["qid", "shard", "block__"], "left_semi")
+    some = some.withColumn("k__", F.row_number().over(Window.partitionBy("qid", "shard", "block__").orderBy("ptr")).cast("bigint") - 1)
+    return some.join(ask, ["qid", "shard", "block__", "k__"]).drop("block__", "k__")
+
+
+def first_k(found: DataFrame, k: int) -> DataFrame:
+    """The first k occurrences of each query by shard and pointer, with idx and cnt, how many there are."""
+    every = F.sequence(F.lit(0).cast("bigint"), F.least("cnt", F.lit(k)) - 1)
+    return picked(found, lambda cnt: cnt.select("qid", "cnt", F.explode(every).alias("idx")))
 
 
 def random_draws(found: DataFrame, maxnum: int, seed: int) -> DataFrame:
@@ -86,12 +106,9 @@ def random_draws(found: DataFrame, maxnum: int, seed: int) -> DataFrame:
     """
     if maxnum <= 0:
         raise ValueError("maxnum must be > 0")
-    n = running(found.withColumn("one__", F.lit(1).cast("bigint")), ["qid"], ["shard", "ptr"], "one__").withColumn("idx", F.col("upto_one__") - 1).drop("one__", "upto_one__")
-    cnt = found.groupBy("qid").agg(F.count("*").alias("cnt"))
-    draws = cnt.select("qid", "cnt", F.explode(F.sequence(F.lit(0), F.lit(maxnum - 1))).alias("draw"))
     number = F.conv(F.substring(F.md5(F.concat_ws("|", F.lit(str(seed)), F.col("qid").cast("string"), F.col("draw").cast("string"))), 1, 12), 16, 10).cast("bigint")
-    draws = draws.withColumn("idx", number % F.col("cnt"))
-    return draws.join(n, ["qid", "idx"])
+    draws = F.explode(F.sequence(F.lit(0), F.lit(maxnum - 1))).alias("draw")
+    return picked(found, lambda cnt: cnt.select("qid", "cnt", draws).withColumn("idx", number % F.col("cnt")))
 
 
 def local_draws(cnt: int, maxnum: int, seed: int | None) -> list[int]:
