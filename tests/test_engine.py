@@ -406,3 +406,46 @@ def test_draws_put_few_occurrences_in_order(spark, monkeypatch):
     drawn = documents.random_draws(found, 5, 7).collect()
     assert len(drawn) == 15 and all((x["shard"], x["ptr"]) == by[x["qid"]][x["idx"]] and x["cnt"] == len(by[x["qid"]]) for x in drawn)
     assert max(t.count() for t in made) < sum(map(len, by.values()))
+
+
+@pytest.mark.parametrize("head", [(1 << 15,), (40, 90)])
+def test_query_suite_counts_few_ngrams(spark, monkeypatch, head):
+    """From the corpus's first positions, and for classes that these don't fill from those whose parts are frequent."""
+    monkeypatch.setattr(stats, "HEAD", head)
+    r = random.Random(16)
+    docs = [[r.randrange(1, 4) if k % 3 else 7 for k in range(r.randrange(0, 30))] for _ in range(40)]
+    c = Corpus.from_ids(spark, [docs])
+    lengths = (1, 2, 3, 4, 8)
+    first, cnt = {}, {}
+    for d in docs:
+        for i in range(len(d)):
+            for n in lengths:
+                if i + n <= len(d):
+                    g = tuple(d[i : i + n])
+                    first.setdefault(g, len(first))
+                    cnt[g] = cnt.get(g, 0) + 1
+    name = lambda n: next(b for b, lo, hi in stats.BUCKETS if lo <= n <= hi)
+    want = {}
+    for g in sorted(first, key=first.get):
+        own = want.setdefault((len(g), name(cnt[g])), [])
+        if len(own) < 3:
+            own.append((g, cnt[g]))
+    got = {}
+    rows = stats.query_suite(c, 3, lengths).collect()
+    for x in rows:
+        got.setdefault((x["len"], x["bucket"]), set()).add((tuple(x["ids"]), x["cnt"]))
+    assert got == {k: set(v) for k, v in want.items()} and len(rows) == sum(map(len, want.values()))
+
+
+def test_frequent_ngrams_have_frequent_parts(spark):
+    """Of all n-grams only those are exchanged whose parts are frequent."""
+    c = Corpus.from_ids(spark, [[[1, 2, 3, 4, 10 + k, 500 + k, 900 + k] for k in range(30)]])
+    docs = c.docs.select("doc_id", "tokens").coalesce(1)
+    schema = "n int, h1 long, h2 long, cnt long, first struct<doc_id:bigint,pos:int>"
+    one = [x for x in docs.mapInArrow(stats.scan.frequent((1,), 0, None), schema).collect() if x["cnt"] >= 20]
+    bits = np.zeros(1 << 10, np.uint64)
+    for x in one:
+        h = np.uint64(x["h1"] & 0xFFFF)
+        bits[int(h) >> 6] |= np.uint64(1) << (h & np.uint64(63))
+    two = docs.mapInArrow(stats.scan.frequent((2, 3), 1, spark.sparkContext.broadcast(bits)), schema).collect()
+    assert sorted((x["n"], x["cnt"], x["first"]["pos"]) for x in two if x["cnt"] > 1) == [(2, 30, 0), (2, 30, 1), (2, 30, 2), (3, 30, 0), (3, 30, 1)] and len(two) < 20  # 160 others

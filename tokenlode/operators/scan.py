@@ -341,3 +341,71 @@ def windows(sent, most: int, block: int) -> Callable:
         return pa.table({"k": k, "shard": pa.array(np.full(len(k), shard, np.int32)), "doc_id": d, "l": l, "r": r})
 
     return run
+
+
+_MUL = np.random.default_rng(20240229).integers(1, 2**63, (2, 64), dtype=np.uint64) * np.uint64(2) + np.uint64(1)
+
+
+def _mix(x: np.ndarray) -> np.ndarray:
+    x = (x ^ (x >> np.uint64(31))) * np.uint64(0x7FB5D329728EA185)
+    x = (x ^ (x >> np.uint64(27))) * np.uint64(0x81DADEF4BC2DD44D)
+    return x ^ (x >> np.uint64(33))
+
+
+def _hashed(tokens: pa.Array) -> np.ndarray:
+    """Two 64-bit hashes of each token, the same on every machine."""
+    from pandas.util import hash_array
+
+    if pa.types.is_integer(tokens.type):
+        x = tokens.to_numpy(zero_copy_only=False).astype(np.int64).view(np.uint64)
+        return np.stack([_mix(x ^ m) for m in _MUL[:, 0]])
+    x = tokens.to_numpy(zero_copy_only=False)
+    return np.stack([hash_array(x, hash_key=key, categorize=False) for key in ("0123456789abcdef", "fedcba9876543210")])
+
+
+def frequent(lengths: tuple[int, ...], known: int, sent) -> Callable:
+    """(n, h1, h2, cnt, first): the n-grams of these lengths, by 128 bits, of which all parts of known tokens are in the bits that were sent.
+
+    cnt is how often they occur in a stretch of documents, first the document and the position of the first time there.
+    """
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in stretches(batches):
+            s = Stretch(b, b.column("tokens").flatten().slice(0, 0))
+            coded = s.values.dictionary_encode()
+            t = np.zeros((2, len(s.doc) + 64), np.uint64)
+            at = np.arange(len(s.values)) + np.repeat(np.arange(len(s.size)), s.size)
+            t[:, at] = _hashed(coded.dictionary)[:, coded.indices.to_numpy(zero_copy_only=False)]
+            left = s.size[s.doc] - (np.arange(len(s.doc)) - s.first[s.doc])
+
+            def gram(n: int, of: int, at: np.ndarray) -> np.ndarray:
+                h = np.full(len(at), n, np.uint64)
+                for k in range(n):
+                    h += t[of, at + k] * _MUL[of, k]
+                return _mix(h)
+
+            some = np.flatnonzero(left >= max(1, known))
+            if known:
+                bits = sent.value
+                h = gram(known, 0, some) & np.uint64((len(bits) << 6) - 1)
+                ok = (bits[(h >> np.uint64(6)).astype(np.int64)] >> (h & np.uint64(63)) & np.uint64(1)).astype(bool)
+                some = some[ok]
+            run_ = np.zeros(len(s.doc) + 1, np.int64)
+            run_[some] = 1
+            bad = np.concatenate([[0], np.cumsum(1 - run_)])  # how many starts before a place aren't known
+            doc_id = b.column("doc_id").to_numpy(zero_copy_only=False)
+            for n in lengths:
+                p = some[left[some] >= n]
+                p = p[bad[p + n - max(1, known) + 1] == bad[p]]
+                h1, h2 = gram(n, 0, p), gram(n, 1, p)
+                order = np.lexsort((s.pos(p), doc_id[s.doc[p]], h2, h1))
+                h1, h2, p = h1[order], h2[order], p[order]
+                new = np.ones(len(p), bool)
+                new[1:] = (h1[1:] != h1[:-1]) | (h2[1:] != h2[:-1])
+                first = np.flatnonzero(new)
+                cnt = np.diff(np.append(first, len(p)))
+                p = p[first]
+                where = pa.StructArray.from_arrays([pa.array(doc_id[s.doc[p]]), pa.array(s.pos(p).astype(np.int32))], ["doc_id", "pos"])
+                yield pa.RecordBatch.from_pydict({"n": pa.array(np.full(len(p), n, np.int32)), "h1": pa.array(h1[first].view(np.int64)), "h2": pa.array(h2[first].view(np.int64)), "cnt": pa.array(cnt), "first": where})
+
+    return run

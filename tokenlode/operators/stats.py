@@ -2,12 +2,17 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.tokens import byte_order, count_bucket
 from ..sources.corpus import Corpus
 from ..sources.shared import running, written
+from . import scan
 from .match import count, find, windows
 
 
@@ -102,19 +107,84 @@ def segment(corpus: Corpus, ids: list) -> DataFrame:
 
 
 LENGTHS = (1, 2, 3, 4, 5, 6, 8, 10, 12, 16)
+#: The classes of `count_bucket`, with their least and most.
+BUCKETS = (("ultra_rare", 0, 1), ("rare", 2, 5), ("low", 6, 20), ("mid", 21, 100), ("high", 101, 1000), ("very_high", 1001, 1 << 62))
+
+
+#: Positions whose n-grams are counted first, in turn; documents that are asked for their sizes; bits that tell frequent n-grams.
+HEAD, HEAD_DOCS, BITS = (1 << 15, 1 << 18), 4096, 1 << 28
 
 
 def query_suite(corpus: Corpus, per_bucket: int = 20, lengths: tuple[int, ...] = LENGTHS) -> DataFrame:
     """(bucket, len, cnt, ids): n-grams of each length and class of count, the first per_bucket in the order in which they first occur.
 
-    That order is by document, then by offset. N-grams are counted from the whole corpus.
+    That order is by document, then by offset. The n-grams of the corpus's first positions are counted in all of it, so a class with enough of them
+    is known. For the other classes n-grams are counted from everywhere, but only those whose parts occur as often as such a class asks for (`_frequent`).
     """
-    w = windows(corpus.docs, max(lengths))
-    g = w.select("doc_id", "pos", F.explode(F.filter(F.array(*[F.when(F.size("w") >= n, F.slice("w", 1, n)) for n in lengths]), lambda x: x.isNotNull())).alias("ids"))
-    c = g.groupBy("ids").agg(F.count("*").alias("cnt"), F.min(F.struct("doc_id", "pos")).alias("first"))
-    c = c.select(count_bucket(F.col("cnt")).alias("bucket"), F.size("ids").alias("len"), "cnt", "ids", "first")
-    order = Window.partitionBy("len", "bucket").orderBy("first")
-    return c.withColumn("k", F.row_number().over(order)).where(F.col("k") <= per_bucket).drop("k", "first")
+    spark, docs = corpus.docs.sparkSession, corpus.docs.select("doc_id", "tokens")
+    kind, most = docs.schema["tokens"].dataType.simpleString(), max(lengths)
+    sizes_ = docs.select("doc_id", F.size("tokens").alias("n")).where("n > 0").orderBy("doc_id").limit(HEAD_DOCS).toArrow()
+    upto, cells, whole = np.cumsum(sizes_["n"].to_numpy()), {}, False
+    for head in HEAD:
+        if not len(upto):
+            break
+        last = min(int(np.searchsorted(upto, head)), len(upto) - 1)
+        some = docs.where(F.col("doc_id") <= F.lit(sizes_["doc_id"][last].as_py())).select("doc_id", F.size("tokens").alias("n"), F.slice("tokens", 1, head + most).alias("tokens")).orderBy("doc_id").toArrow().combine_chunks()
+        whole = len(sizes_) < HEAD_DOCS and upto[-1] <= head
+        lists = some["tokens"].combine_chunks()
+        size = lists.value_lengths().to_numpy().astype(np.int64)
+        left = np.repeat(np.cumsum(size), size) - np.arange(size.sum())
+        n = np.minimum(left, most)[:head]
+        at = pa.array(scan._ranges(np.arange(len(n)), n))
+        windows_ = pa.ListArray.from_arrays(pa.array(np.concatenate([[0], np.cumsum(n)]).astype(np.int32)), lists.flatten().take(at))
+        trie = scan.Trie(windows_)
+        got = docs.mapInArrow(scan.node_counts(spark.sparkContext.broadcast(trie)), "node long, cnt long").groupBy("node").agg(F.sum("cnt").alias("cnt")).toArrow()
+        cnt = np.zeros(trie.size, np.int64)
+        cnt[got["node"].to_numpy()] = got["cnt"].to_numpy()
+        cells = {}
+        for k in lengths:
+            seq, node = trie.paths[k - 1] if k <= len(trie.paths) else (np.zeros(0, np.int64),) * 2
+            node, first = np.unique(node, return_index=True)
+            node = node[np.argsort(first)]
+            first = np.sort(first)
+            for name, lo, hi in BUCKETS:
+                of = np.flatnonzero((cnt[node] >= lo) & (cnt[node] <= hi))[:per_bucket]
+                cells[k, name] = [(name, k, int(cnt[node[x]]), windows_[int(seq[first[x]])].as_py()[:k]) for x in of]
+        if whole or all(len(x) == per_bucket for x in cells.values()):
+            break
+    open_ = [] if whole else [c for c, x in cells.items() if len(x) < per_bucket]
+    out = spark.createDataFrame([r for c, x in cells.items() if c not in open_ for r in x], f"bucket string, len int, cnt long, ids {kind}")
+    return out.unionByName(_frequent(corpus, per_bucket, open_, lengths)) if open_ else out
+
+
+def _frequent(corpus: Corpus, per_bucket: int, cells: list[tuple[int, str]], lengths: tuple[int, ...]) -> DataFrame:
+    """`query_suite` for these classes, of n-grams of any place. An n-gram that occurs so often has no part that occurs less often."""
+    docs = corpus.docs.select("doc_id", "tokens")
+    least = min(lo for name, lo, _ in BUCKETS if any(c[1] == name for c in cells))
+    far = max(n for n, _ in cells)
+    levels = [1, 2, *sorted({*(n for n in lengths if n > 2), 6} - {n for n in lengths if n > far})]
+    steps = [(n,) for n in levels] if least <= 100 else [(1,), (2,), tuple(n for n in levels if 2 < n <= 6), tuple(n for n in levels if n > 6)]
+    known, bits, out = 0, None, None
+    for step in [s for s in steps if s and s[0] <= far]:
+        g = docs.mapInArrow(scan.frequent(step, known, bits), "n int, h1 long, h2 long, cnt long, first struct<doc_id:bigint,pos:int>")
+        g = g.groupBy("n", "h1", "h2").agg(F.sum("cnt").alias("cnt"), F.min("first").alias("first"))
+        g = written(g.where(F.col("cnt") >= least), "n-grams")
+        own = g.select(F.col("n").alias("len"), "cnt", "first", count_bucket(F.col("cnt")).alias("bucket"))
+        wanted = [(F.col("len") == n) & (F.col("bucket") == name) for n, name in cells if n in step]
+        if wanted:
+            order = Window.partitionBy("len", "bucket").orderBy("first")
+            own = own.where(reduce(lambda a, b: a | b, wanted)).withColumn("k", F.row_number().over(order)).where(F.col("k") <= per_bucket).drop("k")
+            own = written(own, "classes")
+            out = own if out is None else out.unionByName(own)
+        known = step[-1]
+        h = g.where(F.col("n") == known).select("h1")
+        words = h.select(F.shiftrightunsigned(F.col("h1").bitwiseAND(F.lit(BITS - 1)), 6).alias("w"), F.expr("shiftleft(1L, cast(h1 & 63 AS int))").alias("b")).groupBy("w").agg(F.bit_or("b").alias("b")).toArrow()
+        mine = np.zeros(BITS >> 6, np.uint64)
+        mine[words["w"].to_numpy()] = words["b"].to_numpy().view(np.uint64)
+        bits = docs.sparkSession.sparkContext.broadcast(mine)
+    d = out.withColumn("doc_id", F.col("first.doc_id"))
+    d = corpus.docs.select("doc_id", "tokens").join(F.broadcast(d), "doc_id").where(F.size("tokens") >= F.col("first.pos") + F.col("len"))
+    return d.select("bucket", "len", "cnt", F.slice("tokens", F.col("first.pos") + 1, F.col("len")).alias("ids"))
 
 
 def mismatches(left: Corpus, right: Corpus, queries: DataFrame) -> DataFrame:
