@@ -449,3 +449,29 @@ def test_frequent_ngrams_have_frequent_parts(spark):
         bits[int(h) >> 6] |= np.uint64(1) << (h & np.uint64(63))
     two = docs.mapInArrow(stats.scan.frequent((2, 3), 1, spark.sparkContext.broadcast(bits)), schema).collect()
     assert sorted((x["n"], x["cnt"], x["first"]["pos"]) for x in two if x["cnt"] > 1) == [(2, 30, 0), (2, 30, 1), (2, 30, 2), (3, 30, 0), (3, 30, 1)] and len(two) < 20  # 160 others
+
+
+def test_suffixes_of_words_in_blocks_and_ranges(spark, monkeypatch):
+    """Words that are longer than the key, begin alike or hold the bytes that end words; equal documents over many blocks."""
+    from tokenlode.operators import suffix
+
+    monkeypatch.setattr(suffix, "BLOCK", 16)
+    monkeypatch.setattr(suffix, "RANGE", 32)
+    asked = []
+    monkeypatch.setattr(suffix, "discard", lambda spark, path, f=suffix.discard: asked.append(path) or f(spark, path))
+    r = random.Random(17)
+    words = ["a", "ab", "b", "ñu", "a" * 30, "a" * 30 + "b", "a" * 31, "a\x00", "a\x01b"]
+    same = [r.choice(words) for _ in range(70)]
+    docs = [same, [r.choice(words) for _ in range(20)], same, [], same, ["a"] * 40, [], same + ["b"], ["a"] * 40]
+    rows = [(k % 2, k, t, "") for k, t in enumerate(docs)]
+    c = Corpus(spark.createDataFrame(rows, "shard int, doc_id long, tokens array<string>, metadata string"))
+    for first in (1, 24):
+        got = stats.suffixes(c, first).collect()
+        for s in (0, 1):
+            own = [(k, t) for k, t in enumerate(docs) if k % 2 == s]
+            stream = [t.encode() for _, d in own for t in ["\U0010ffff", *d]]
+            at = [(k, p) for k, d in own for p in range(-1, len(d))]
+            want = sorted(range(len(stream)), key=lambda i: stream[i:])
+            assert [(x["doc_id"], x["pos"]) for x in sorted((x for x in got if x["shard"] == s), key=lambda x: x["rank"])] == [at[i] for i in want]
+            assert sorted(x["rank"] for x in got if x["shard"] == s) == list(range(len(stream)))
+    assert len(asked) < 14  # four ranks at once, not twice the length with each round
