@@ -463,3 +463,25 @@ def test_pipeline_on_odd_tables(spark, tmp_path, odd, none):
         (at / "labels.parquet").symlink_to(tmp_path / "labels.parquet")
         got = corpus_pipeline.run(spark, str(at)).collect()
         assert len(got) <= len(ROWS) and (name == "odd" or not got)
+
+
+@pytest.mark.parametrize("few", [0, 500])
+def test_ngram_jaccard_small_sets_take_no_step_each(monkeypatch, few):
+    monkeypatch.setattr(ngram_jaccard, "FEW", few)
+
+    class Marks(np.ndarray):
+        steps = 0
+
+        def __setitem__(self, *x):
+            Marks.steps += 1
+            super().__setitem__(*x)
+
+    r = np.random.default_rng(3)
+    own = [np.sort(r.choice(40, r.integers(0, 5), replace=False)) for _ in range(300)] + [np.arange(40)] * 3
+    first = np.concatenate([[0], np.cumsum([len(x) for x in own])])
+    a = np.sort(r.integers(0, 304, 2000))  # 303 stands for sets that the fragment hasn't
+    b = r.integers(0, 304, 2000)
+    size = lambda x: own[x] if x < 303 else own[0][:0]
+    got = ngram_jaccard._shared(np.concatenate(own).astype(np.int32), first, np.zeros(41, bool).view(Marks), a, b)
+    assert got.tolist() == [len(np.intersect1d(size(x), size(y))) for x, y in zip(a, b)]
+    assert Marks.steps == 0 if few else Marks.steps > 300
